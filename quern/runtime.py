@@ -111,7 +111,8 @@ def running_total(rows: DataFrame, group: list[str], order: list[str], value: st
     made = cut(ranged.mapInArrow(local, schema), "running")
     sums = made.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    cond = [made[g].eqNullSafe(offsets[g]) for g in group] + [made["_part"] == offsets["_part"]]
+    shift = F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
+    offsets = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), shift)
+    cond = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_part") == F.col("_p")]
     joined = made.join(offsets, cond, "left")
-    return joined.select(*[made[c] for c in rows.columns], (made["_local"] + offsets["_before"]).alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_local") + F.col("_before")).alias(out))
