@@ -17,3 +17,91 @@ def normal_name(name: Column) -> Column:
 def letters_digits(text: Column) -> Column:
     """Only letters and decimal digits, lower case; null counts as empty."""
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{Nd}]+", ""))
+
+
+def title_form(name: Column) -> Column:
+    """``_`` read as a space, trimmed, lower case; inner white space stays as it is."""
+    return F.lower(F.trim(F.translate(name, "_", " ")))
+
+
+def slug(name: Column, default: str = "section") -> Column:
+    """Lower case, anything but letters a-z and digits as one ``_``, none at the ends; the default if nothing is left."""
+    made = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(made, F.lit("")), F.lit(default))
+
+
+def base_field(name: Column) -> Column:
+    return F.regexp_replace(name, r"\d+$", "")
+
+
+def unique_strings(values: Column) -> Column:
+    """White space collapsed and trimmed, empty and null dropped, repeats dropped in order of first sight."""
+    clean = F.transform(values, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & (x != "")))
+
+
+#: Character references, in the order in which they are resolved.
+ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def decode_entities(text: Column) -> Column:
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def strip_comments(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+
+
+#: A link with its target and an optional label.
+LINK = r"\[\[([^\[\]|#]*)(?:#[^\[\]|]*)?(?:\|([^\[\]]*))?\]\]"
+
+
+def links(text: Column) -> Column:
+    """Array of struct<target, label> of the links to articles; links to files, images and categories are left out."""
+    targets = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: F.trim(x))
+    labels = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(2)), lambda x: F.trim(x))
+    both = F.arrays_zip(targets.alias("target"), labels.alias("label"))
+    pairs = F.transform(both, lambda x: F.struct(x["target"].alias("target"), F.coalesce(F.nullif(x["label"], F.lit("")), x["target"]).alias("label")))
+    return F.filter(pairs, lambda x: (x["target"] != "") & ~x["target"].rlike(r"(?i)^\s*(file|image|category)\s*:"))
+
+
+def tri_state(text: Column) -> Column:
+    """true, false or null: a text begins with yes or true, with no or false, or with neither."""
+    bare = F.lower(F.trim(text))
+    return F.when(bare.rlike(r"^(yes|true|1\b)"), True).when(bare.rlike(r"^(no\b|false|0\b)"), False)
+
+
+def clip(text: Column, n: int) -> Column:
+    """At most n characters, with ``...`` in place of the end that was cut off."""
+    return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 3)), F.lit("..."))).otherwise(text)
+
+
+#: Fixed value: what counts as a search token.
+TOKEN = r"[a-z0-9][a-z0-9'+_\-]*"
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case search tokens of at least two characters, in order, repeats included."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda x: F.length(x) > 1)
+
+
+def phrase(text: Column) -> Column:
+    return F.array_join(tokens(text), " ")
+
+
+def safe_number(text: Column) -> Column:
+    """A double, or null for what is empty or no number; thousands separators are dropped."""
+    return F.replace(F.trim(text), F.lit(",")).try_cast("double")
+
+
+def numbers_in(text: Column) -> Column:
+    """All whole numbers that stand alone in a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\b\d+\b"), F.lit(0)), lambda x: x.try_cast("bigint"))
+
+
+def short_amount(value: Column) -> Column:
+    """1234567 as 1.2M, 45678 as 45K, smaller as they are."""
+    millions = F.concat(F.floor(value / 100_000) / 10, F.lit("M"))
+    return F.when(value >= 10_000_000, F.concat(F.floor(value / 1_000_000).cast("string"), F.lit("M"))).when(value >= 1_000_000, millions).when(value >= 100_000, F.concat(F.floor(value / 1000).cast("string"), F.lit("K"))).otherwise(value.cast("string"))
