@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,18 +18,17 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how texts are split before the byte pairs of this vocabulary are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_LOADED: dict[str, object] = {}
-
 
 def encoder(path: str):
-    """The tiktoken encoder of a rank file; loaded once per Python worker."""
-    if path not in _LOADED:
+    """The tiktoken encoder of a rank file; loaded once per Python worker, which outlives a task."""
+    loaded = vars(sys).setdefault("_token_encoders", {})
+    if path not in loaded:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _LOADED[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path]
+        loaded[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return loaded[path]
 
 
 def with_tokens(rows: DataFrame, text: str, keep: list[str], out: str = "n_tokens", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
