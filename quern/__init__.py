@@ -1 +1,8 @@
 """quern: record, graph, event and text analytics on the PySpark DataFrame API."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
