@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.runtime import cut
+
 TYPES = ("string", "number", "boolean", "array")
 LEAVES = "feed string, file_seq int, rec_key string, line_no int, path string, type string, hash bigint"
 CHANGES = "feed string, file_seq int, change string, field string, new_field string"
@@ -263,21 +265,21 @@ def drift(lines: DataFrame, least_share: float = 0.2, same_share: float = 0.8) -
     Repeated lines count as lines. An empty table gives no changes.
     """
     leaves = leaf_values(lines)
-    schemas = file_schemas(leaves, least_share).where(F.col("prev_seq").isNotNull())
+    # The schemas and the values of the fields that moved are written once: the lines are parsed twice, not more.
+    schemas = cut(file_schemas(leaves, least_share), "schemas").where(F.col("prev_seq").isNotNull())
     names = lambda c: F.transform(c, lambda x: x["path"])
     gone, fresh = F.array_except(names("prev_fields"), names("fields")), F.array_except(names("fields"), names("prev_fields"))
     moved = schemas.select("feed", "file_seq", "prev_seq", gone.alias("gone"), fresh.alias("fresh")).where((F.size("gone") > 0) & (F.size("fresh") > 0))
     pairs = moved.withColumn("old", F.explode("gone")).withColumn("new", F.explode("fresh")).select("feed", "file_seq", "prev_seq", "old", "new")
-
-    def held(seq: str, path: str, out: str) -> DataFrame:
-        wanted = pairs.select(F.col("feed").alias("_feed"), F.col(seq).alias("_seq"), F.col(path).alias("_path")).distinct()
-        cond = leaves["feed"].eqNullSafe(wanted["_feed"]) & (leaves["file_seq"] == wanted["_seq"]) & (leaves["path"] == wanted["_path"])
-        of_key = leaves.where(F.col("rec_key").isNotNull()).join(wanted, cond).groupBy("_feed", "_seq", "_path", "rec_key")
-        return of_key.agg(F.min_by("hash", F.struct("line_no", "hash")).alias(out))
-
-    old, new = held("prev_seq", "old", "_old"), held("file_seq", "new", "_new")
-    before = pairs.join(old.withColumnsRenamed({"_feed": "_f1", "_seq": "_s1", "_path": "_p1"}), F.col("feed").eqNullSafe(F.col("_f1")) & (F.col("prev_seq") == F.col("_s1")) & (F.col("old") == F.col("_p1")))
-    before = before.select("feed", "file_seq", "old", "new", F.col("rec_key").alias("_key"), "_old")
+    side = lambda seq, path: pairs.select(F.col("feed").alias("_feed"), F.col(seq).alias("_seq"), F.col(path).alias("_path"))
+    wanted = side("prev_seq", "old").unionByName(side("file_seq", "new")).distinct()
+    cond = leaves["feed"].eqNullSafe(wanted["_feed"]) & (leaves["file_seq"] == wanted["_seq"]) & (leaves["path"] == wanted["_path"])
+    of_key = leaves.where((F.col("path") != "") & F.col("rec_key").isNotNull()).join(wanted, cond).groupBy("_feed", "_seq", "_path", "rec_key")
+    held = cut(of_key.agg(F.min_by("hash", F.struct("line_no", "hash")).alias("_value")), "held")
+    old = held.select(F.col("_feed").alias("_f1"), F.col("_seq").alias("_s1"), F.col("_path").alias("_p1"), F.col("rec_key").alias("_key"), F.col("_value").alias("_old"))
+    new = held.withColumnRenamed("_value", "_new")
+    before = pairs.join(old, F.col("feed").eqNullSafe(F.col("_f1")) & (F.col("prev_seq") == F.col("_s1")) & (F.col("old") == F.col("_p1")))
+    before = before.select("feed", "file_seq", "old", "new", "_key", "_old")
     both = before.join(new, before["feed"].eqNullSafe(new["_feed"]) & (before["file_seq"] == new["_seq"]) & (before["new"] == new["_path"]) & (before["_key"] == new["rec_key"]))
     agree = both.groupBy("feed", "file_seq", "old", "new").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_old") == F.col("_new")).cast("bigint")).alias("same"))
     agree = agree.where(F.col("same") >= F.col("n") * F.lit(same_share) - F.lit(1e-9))
@@ -369,7 +371,7 @@ def consistent(lines: DataFrame, keep: list[str], most_columns: int = 1000, leas
     driver must hold, is bounded by that); the values of other fields, and values that cannot be cast, are kept as
     JSON text in the map ``rest``, so nothing is lost.
     """
-    names = canonical_names(drift(lines, least_share), lines)
+    names = cut(canonical_names(drift(lines, least_share), lines), "names")
     mapped = lines.join(names.withColumnsRenamed({"feed": "_feed", "file_seq": "_seq"}), lines["feed"].eqNullSafe(F.col("_feed")) & (lines["file_seq"] == F.col("_seq")), "left")
     leaves = leaf_values(lines).where(F.col("path") != "")
     of_file = leaves.groupBy("feed", "file_seq", "path", "type").agg(F.count(F.lit(1)).alias("n"))
