@@ -55,7 +55,7 @@ def _paragraphs(lines: list[str]) -> str:
 def prose_chars(lines: list[str]) -> tuple[int, int, int]:
     """Characters in running sentences, in all sentences, and in sentences that repeat an earlier one.
 
-    A running sentence has at least five words, more than three per phrase between commas and the like, a share of
+    A running sentence has at least five words (seven as an item of a list), more than three per phrase between commas and the like, a share of
     common words that is neither too low (names, codes, invented words) nor too high (function words strung
     together), and few characters that no sentence holds. A sentence that came before in the text is a repetition.
     """
@@ -69,7 +69,7 @@ def prose_chars(lines: list[str]) -> tuple[int, int, int]:
         sentence = _MARKUP.sub("", sentence)
         words = _WORD.findall(sentence.lower())
         k = len(words)
-        if k < 5:
+        if k < 5 or (k < 7 and _BULLET.match(sentence)):
             continue
         phrases = 1 + len(_BREAK.findall(_ASIDE.sub("", sentence) if "(" in sentence else sentence))
         if k < 3 * phrases:
