@@ -351,9 +351,9 @@ def cast_value(value: Any, kind: str) -> Any:
 
 
 def column_names(paths: list[str], taken: set[str]) -> dict[str, str]:
-    """Column names of dotted paths that differ even when case is ignored."""
+    """Column names of dotted paths that differ even when case is ignored; the first paths get the plain names."""
     used, out = {x.lower() for x in taken}, {}
-    for p in sorted(paths):
+    for p in paths:
         name = base = p.replace(".", "_")
         k = 2
         while name.lower() in used:
