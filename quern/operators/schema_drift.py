@@ -1,7 +1,7 @@
 """Schemas that drift between files: one report of every change, one consistent table.
 
-``leaf_values`` flattens JSON lines to (file, path, type, value hash). ``file_schemas`` keeps the fields of each
-file. ``drift`` pairs each file with the one before it in its feed and matches the two schemas by similarity
+``leaf_counts`` counts the fields of JSON lines by file and type. ``file_schemas`` keeps the fields that belong to
+each file. ``drift`` pairs each file with the one before it in its feed and matches the two schemas by similarity
 flooding: both become graphs of name, type and nesting, match scores spread over the pairwise connectivity graph
 until they settle, and the fields that are gone are matched one to one with the new ones, best score first, among
 the pairs that hold the same values. ``consistent`` follows the renames along each feed, casts and unions.
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from quern.runtime import cut
 
 TYPES = ("string", "number", "boolean", "array")
-LEAVES = "feed string, file_seq int, rec_key string, line_no int, path string, type string, hash bigint"
+COUNTS = "feed string, file_seq int, path string, type string, n bigint"
+HELD = "feed string, file_seq int, rec_key string, line_no int, path string, hash bigint"
 CHANGES = "feed string, file_seq int, change string, field string, new_field string"
 
 
@@ -76,53 +77,73 @@ def value_hash(value: Any) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def leaf_values(lines: DataFrame) -> DataFrame:
-    """One row per leaf of each line that parses, and one with the path '' for the line itself.
+def _lines(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.select(F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col("rec_key").cast("string"), F.col("line_no").cast("int"), F.col("body").cast("string"), *more)
 
-    lines: feed, file_seq, rec_key, line_no, body; other columns are not read. Lines that do not parse give no
-    rows; a line that parses to something other than an object counts as a line without fields.
+
+def leaf_counts(lines: DataFrame) -> DataFrame:
+    """feed, file_seq, path, type, n: how many lines hold a value of the type; path '' counts the lines that parse.
+
+    lines: feed, file_seq, rec_key, line_no, body; other columns are not read. Lines that do not parse give
+    nothing; a line that parses to something other than an object is a line without fields. Counts are partial, one
+    row per field and batch of lines, so sum them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                at: list[int] = []
-                path: list[str] = []
-                kind: list[str] = []
-                hashed: list[int] = []
-                for i, body in enumerate(batch.column("body").to_pylist()):
-                    try:
-                        line = parse_line(body)
-                    except (ValueError, RecursionError):
-                        continue
-                    at.append(i)
-                    path.append("")
-                    kind.append("")
-                    hashed.append(0)
-                    if not isinstance(line, dict):
-                        continue
+        for batch in batches:
+            counts: dict[tuple, int] = {}
+            for feed, seq, body in zip(*(batch.column(c).to_pylist() for c in ("feed", "file_seq", "body")), strict=True):
+                try:
+                    line = parse_line(body)
+                except (ValueError, RecursionError):
+                    continue
+                counts[(feed, seq, "", "")] = counts.get((feed, seq, "", ""), 0) + 1
+                if isinstance(line, dict):
                     for p, v in leaves_of(line):
-                        at.append(i)
-                        path.append(p)
-                        kind.append(type_of(v))
-                        hashed.append(value_hash(v))
-                rows = pa.array(at, pa.int32())
-                cols = [batch.column(c).take(rows) for c in ("feed", "file_seq", "rec_key", "line_no")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(hashed, pa.int64())], names=["feed", "file_seq", "rec_key", "line_no", "path", "type", "hash"])
+                        k = (feed, seq, p, type_of(v))
+                        counts[k] = counts.get(k, 0) + 1
+            cols = list(zip(*counts, strict=True)) if counts else [[]] * 4
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(counts.values(), pa.int64())], names=["feed", "file_seq", "path", "type", "n"])
+
+    return _lines(lines).mapInArrow(run, COUNTS)
+
+
+def held_values(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """feed, file_seq, path, rec_key, line_no, hash: the values of the wanted fields (feed, file_seq, paths) line by line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, path, hashed = [], [], []
+            for i, (body, paths) in enumerate(zip(batch.column("body").to_pylist(), batch.column("paths").to_pylist(), strict=True)):
+                try:
+                    line = parse_line(body)
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(line, dict):
+                    for p, v in leaves_of(line):
+                        if p in paths:
+                            at.append(i)
+                            path.append(p)
+                            hashed.append(value_hash(v))
+            rows = pa.array(at, pa.int32())
+            cols = [batch.column(c).take(rows) for c in ("feed", "file_seq", "rec_key", "line_no")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(path, pa.string()), pa.array(hashed, pa.int64())], names=["feed", "file_seq", "rec_key", "line_no", "path", "hash"])
 
-    typed = lines.select(F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col("rec_key").cast("string"), F.col("line_no").cast("int"), F.col("body").cast("string"))
-    return typed.mapInArrow(run, LEAVES)
+    typed = _lines(lines).where(F.col("rec_key").isNotNull())
+    asked = wanted.select(F.col("feed").alias("_feed"), F.col("file_seq").alias("_seq"), "paths")
+    both = typed.join(asked, typed["feed"].eqNullSafe(asked["_feed"]) & (typed["file_seq"] == asked["_seq"])).drop("_feed", "_seq")
+    return both.mapInArrow(run, HELD)
 
 
-def file_schemas(leaves: DataFrame, least_share: float = 0.2) -> DataFrame:
+def file_schemas(counts: DataFrame, least_share: float = 0.2) -> DataFrame:
     """feed, file_seq, prev_seq, fields, prev_fields: the (path, type) pairs that belong to each file and the one before.
 
     A field belongs to a file if at least ``least_share`` of its lines that parse hold a value for it; its type is
     that of most of these values, the first of TYPES in a tie. Files without any line that parses do not count.
     """
-    of_type = [F.sum((F.col("type") == t).cast("bigint")).alias(f"_{t}") for t in TYPES]
-    per_path = leaves.groupBy("feed", "file_seq", "path").agg(F.count(F.lit(1)).alias("_n"), *of_type)
+    of_type = [F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0)).alias(f"_{t}") for t in TYPES]
+    per_path = counts.groupBy("feed", "file_seq", "path").agg(F.sum("n").alias("_n"), *of_type)
     most = F.greatest(*[F.col(f"_{t}") for t in TYPES])
     kind = F.coalesce(*[F.when(F.col(f"_{t}") == most, F.lit(t)) for t in TYPES])
     packed = per_path.groupBy("feed", "file_seq").agg(F.max(F.when(F.col("path") == "", F.col("_n"))).alias("_lines"), F.collect_list(F.when(F.col("path") != "", F.struct("path", kind.alias("type"), "_n"))).alias("_all"))
@@ -264,17 +285,15 @@ def drift(lines: DataFrame, least_share: float = 0.2, same_share: float = 0.8) -
     key with several lines in a file has the value of its first line that has one; null keys are not compared.
     Repeated lines count as lines. An empty table gives no changes.
     """
-    leaves = leaf_values(lines)
-    # The schemas and the values of the fields that moved are written once: the lines are parsed twice, not more.
-    schemas = cut(file_schemas(leaves, least_share), "schemas").where(F.col("prev_seq").isNotNull())
+    # The lines are parsed twice: for the schemas, and for the values of the fields that moved. Both are written once.
+    schemas = cut(file_schemas(leaf_counts(lines), least_share), "schemas").where(F.col("prev_seq").isNotNull())
     names = lambda c: F.transform(c, lambda x: x["path"])
     gone, fresh = F.array_except(names("prev_fields"), names("fields")), F.array_except(names("fields"), names("prev_fields"))
     moved = schemas.select("feed", "file_seq", "prev_seq", gone.alias("gone"), fresh.alias("fresh")).where((F.size("gone") > 0) & (F.size("fresh") > 0))
     pairs = moved.withColumn("old", F.explode("gone")).withColumn("new", F.explode("fresh")).select("feed", "file_seq", "prev_seq", "old", "new")
-    side = lambda seq, path: pairs.select(F.col("feed").alias("_feed"), F.col(seq).alias("_seq"), F.col(path).alias("_path"))
-    wanted = side("prev_seq", "old").unionByName(side("file_seq", "new")).distinct()
-    cond = leaves["feed"].eqNullSafe(wanted["_feed"]) & (leaves["file_seq"] == wanted["_seq"]) & (leaves["path"] == wanted["_path"])
-    of_key = leaves.where((F.col("path") != "") & F.col("rec_key").isNotNull()).join(wanted, cond).groupBy("_feed", "_seq", "_path", "rec_key")
+    side = lambda seq, path: pairs.select("feed", F.col(seq).alias("file_seq"), F.col(path).alias("path"))
+    wanted = side("prev_seq", "old").unionByName(side("file_seq", "new")).groupBy("feed", "file_seq").agg(F.collect_set("path").alias("paths"))
+    of_key = held_values(lines, wanted).groupBy(F.col("feed").alias("_feed"), F.col("file_seq").alias("_seq"), F.col("path").alias("_path"), "rec_key")
     held = cut(of_key.agg(F.min_by("hash", F.struct("line_no", "hash")).alias("_value")), "held")
     old = held.select(F.col("_feed").alias("_f1"), F.col("_seq").alias("_s1"), F.col("_path").alias("_p1"), F.col("rec_key").alias("_key"), F.col("_value").alias("_old"))
     new = held.withColumnRenamed("_value", "_new")
@@ -373,8 +392,7 @@ def consistent(lines: DataFrame, keep: list[str], most_columns: int = 1000, leas
     """
     names = cut(canonical_names(drift(lines, least_share), lines), "names")
     mapped = lines.join(names.withColumnsRenamed({"feed": "_feed", "file_seq": "_seq"}), lines["feed"].eqNullSafe(F.col("_feed")) & (lines["file_seq"] == F.col("_seq")), "left")
-    leaves = leaf_values(lines).where(F.col("path") != "")
-    of_file = leaves.groupBy("feed", "file_seq", "path", "type").agg(F.count(F.lit(1)).alias("n"))
+    of_file = leaf_counts(lines).where(F.col("path") != "").groupBy("feed", "file_seq", "path", "type").agg(F.sum("n").alias("n"))
     named = of_file.join(names.withColumnsRenamed({"feed": "_feed", "file_seq": "_seq"}), F.col("feed").eqNullSafe(F.col("_feed")) & (F.col("file_seq") == F.col("_seq")), "left")
     totals = named.groupBy(F.coalesce(F.try_element_at("names", F.col("path")), F.col("path")).alias("path"), "type").agg(F.sum("n").alias("n"))
     by_path = totals.groupBy("path").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"))
