@@ -197,8 +197,18 @@ def schema_graph(fields: list[tuple[str, str]]) -> tuple[list[str], list[tuple[i
     return list(nodes), sorted(edges)
 
 
-def flood(old: list[tuple[str, str]], new: list[tuple[str, str]], most_rounds: int = 60, settled: float = 1e-3) -> dict[tuple[str, str], float]:
-    """Scores of the field pairs of two schemas, spread over the pairwise connectivity graph to convergence."""
+def flood(old: list[tuple[str, str]], new: list[tuple[str, str]], most_rounds: int = 60, settled: float = 1e-3, memo: dict | None = None) -> dict[tuple[str, str], float]:
+    """Scores of the field pairs of two schemas, spread over the pairwise connectivity graph to convergence.
+
+    memo: name similarities that are known from schemas before.
+    """
+    memo = {} if memo is None else memo
+
+    def similar(a: str, b: str) -> float:
+        if (a, b) not in memo:
+            memo[a, b] = name_similarity(a, b)
+        return memo[a, b]
+
     na, ea = schema_graph(old)
     nb, eb = schema_graph(new)
     by_label: dict[str, list[list[tuple[int, int]]]] = defaultdict(lambda: [[], []])
@@ -221,7 +231,7 @@ def flood(old: list[tuple[str, str]], new: list[tuple[str, str]], most_rounds: i
     for i, x in enumerate(na):
         for j, y in enumerate(nb):
             if kind(x) == kind(y):
-                start[i * width + j] = 1.0 if x == y else 0.5 * name_similarity(leaf(x), leaf(y)) if kind(x) != "type:" else 0.0
+                start[i * width + j] = 1.0 if x == y else 0.5 * similar(leaf(x), leaf(y)) if kind(x) != "type:" else 0.0
     if first:
         src, dst, lab = np.concatenate(first), np.concatenate(second), np.concatenate(labels)
         # Each pair hands its score on in equal parts over its neighbours of the same label, in either direction.
@@ -264,14 +274,14 @@ def correspond(pairs: dict[tuple[str, str], float]) -> dict[str, str]:
     return {old: new for new, old in taken.items()}
 
 
-def changes_between(old: list[tuple[str, str]], new: list[tuple[str, str]], same: set[tuple[str, str]]) -> list[tuple[str, str, str]]:
+def changes_between(old: list[tuple[str, str]], new: list[tuple[str, str]], same: set[tuple[str, str]], memo: dict | None = None) -> list[tuple[str, str, str]]:
     """(change, field, new_field) from one schema to the next; same: the pairs of a gone and a new field whose values agree."""
     before, after = dict(old), dict(new)
     found = [("type_changed", p, "") for p, t in old if p in after and after[p] != t]
     gone, fresh = [p for p in before if p not in after], [p for p in after if p not in before]
     renamed: dict[str, str] = {}
     if gone and fresh and same:
-        scores = flood(old, new)
+        scores = flood(old, new, memo=memo)
         renamed = correspond({pair: scores[pair] for pair in same if pair[0] in before and pair[1] in after})
     found += [("renamed", p, renamed[p]) if p in renamed else ("removed", p, "") for p in gone]
     return found + [("added", p, "") for p in fresh if p not in set(renamed.values())]
@@ -306,12 +316,13 @@ def drift(lines: DataFrame, least_share: float = 0.2, same_share: float = 0.8) -
     whole = schemas.join(evidence, schemas["feed"].eqNullSafe(evidence["_feed"]) & (schemas["file_seq"] == evidence["_seq"]), "left").where(F.col("fields") != F.col("prev_fields"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
                 old_fields, new_fields = ([(x["path"], x["type"]) for x in row[c]] for c in ("prev_fields", "fields"))
                 same = {(x["old"], x["new"]) for x in row["same"] or ()}
-                out += [(row["feed"], row["file_seq"], *x) for x in changes_between(old_fields, new_fields, same)]
+                out += [(row["feed"], row["file_seq"], *x) for x in changes_between(old_fields, new_fields, same, memo)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], names=["feed", "file_seq", "change", "field", "new_field"])
 
