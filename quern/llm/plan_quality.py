@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.quality import document_statistics, flagged, scales, scored, sketch
+from quern.llm.quality import document_statistics, flagged, pooled, scales, scored, sketch
 from quern.runtime import cut, table
 
 #: A text whose share of running sentences lies this far below the median of its language is a candidate.
@@ -19,7 +19,8 @@ REPORTED = {
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     stats = cut(document_statistics(table(spark, sf, "documents"), "doc_id", "text", "lang"), "statistics")
-    return scored(stats, scales(sketch(stats)))
+    grouped = pooled(stats)
+    return scored(grouped, scales(sketch(grouped)))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +29,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf)
+    return _scored(spark, sf).drop("group")
 
 
 def p8_tails(spark: SparkSession, sf: str) -> DataFrame:

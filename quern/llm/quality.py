@@ -130,6 +130,16 @@ def document_statistics(documents: DataFrame, doc_id: str, text: str, lang: str)
     return documents.select(F.col(f"`{doc_id}`").alias("doc_id"), language.alias("lang"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
+def pooled(stats: DataFrame, most_langs: int = 100, others: str = "other") -> DataFrame:
+    """Adds ``group``: the language if it is one of the ``most_langs`` with the most texts, else ``others``.
+
+    Statistics are compared within a group, so no text is left out, and there are at most ``most_langs`` + 1 groups
+    however the languages are written; that bounds the table of scales that is sent to every task.
+    """
+    counted = stats.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    return stats.withColumn("group", F.when(F.col("lang").isin([r["lang"] for r in counted.collect()]), F.col("lang")).otherwise(F.lit(others)))
+
+
 # -- quantile sketches ---------------------------------------------------------------------------------------
 
 #: Relative width of a bucket, and the value below which all count as 0.
@@ -150,22 +160,22 @@ def middle(of_bucket: Column) -> Column:
 
 
 def sketch(stats: DataFrame, names: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """lang, statistic, bucket, n: counted per task before the shuffle; there are at most a few thousand buckets per statistic."""
+    """group, statistic, bucket, n: counted per task before the shuffle; there are at most a few thousand buckets per statistic."""
     pairs = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in names])
-    flat = stats.select("lang", F.explode(pairs).alias("p")).select("lang", "p.*").where(F.col("value").isNotNull())
-    return flat.groupBy("lang", "statistic", bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    flat = stats.select("group", F.explode(pairs).alias("p")).select("group", "p.*").where(F.col("value").isNotNull())
+    return flat.groupBy("group", "statistic", bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_sketches(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("lang", "statistic", "bucket").agg(F.sum("n").alias("n"))
+    return a.unionByName(b).groupBy("group", "statistic", "bucket").agg(F.sum("n").alias("n"))
 
 
 def scales(sketched: DataFrame) -> DataFrame:
-    """lang, statistic, total, median, mad, cumulative: read from the buckets alone.
+    """group, statistic, total, median, mad, cumulative: read from the buckets alone.
 
     cumulative maps a bucket to the share of the values that lie below its middle.
     """
-    keys = ["lang", "statistic"]
+    keys = ["group", "statistic"]
     up = Window.partitionBy(*keys).orderBy("bucket")
     whole = Window.partitionBy(*keys)
     ranked = sketched.withColumn("at", middle(F.col("bucket"))).withColumn("total", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(up))
@@ -183,10 +193,10 @@ LEAST_DEVIATION = {"n_chars": 50.0, "n_words": 10.0, "mean_word": 0.2, "mean_lin
 def scored(stats: DataFrame, scale: DataFrame, names: tuple[str, ...] = STATISTICS) -> DataFrame:
     """Adds ``z``, a map from statistic to robust z-score, and ``percentile``, a map to the share of smaller values.
 
-    A statistic that is null has neither.
+    A statistic that is null has neither. There is one row of scales per group, a number that ``pooled`` bounds.
     """
-    per_lang = scale.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("statistic", F.struct("median", "mad", "cumulative").alias("s")))).alias("_s"))
-    joined = stats.join(per_lang, "lang", "left")
+    per_group = scale.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("statistic", F.struct("median", "mad", "cumulative").alias("s")))).alias("_s"))
+    joined = stats.join(F.broadcast(per_group), "group", "left")
 
     def z(s: str) -> Column:
         of = F.try_element_at("_s", F.lit(s))

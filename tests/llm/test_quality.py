@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm.quality import STATISTICS, document_statistics, flagged, merge_sketches, scales, scored, sketch, statistics_of
+from quern.llm.quality import STATISTICS, document_statistics, flagged, merge_sketches, pooled, scales, scored, sketch, statistics_of
 
 PROSE = ["Because the siege is ancient, the creature that lives under the ogre is weak to fire.", "Near the village, its level rises to 813 as soon as the tunnel is bright and nobody knows why.", "Se encuentra una escalera olvidada detrás de la runa y nadie puede buscar la escalera por la noche.", "Auf dem Weg nach Bunyim sollte man lieber die Mühle verstecken als zu Fuß nach Wekkevrek zu gehen."]
 
@@ -51,11 +52,11 @@ def test_statistics_of_odd_texts(spark):
 def test_sketches_merge_and_scale(spark):
     values = [float(i % 97) for i in range(2000)] + [None] * 5
     names = ("n_words",)
-    stats = spark.createDataFrame([(i, "en" if i % 2 else "de", v) for i, v in enumerate(values)], "doc_id int, lang string, n_words double")
+    stats = spark.createDataFrame([(i, "en" if i % 2 else "de", v) for i, v in enumerate(values)], "doc_id int, lang string, n_words double").withColumn("group", F.col("lang"))
     parts = merge_sketches(sketch(stats.where("doc_id < 700"), names), sketch(stats.where("doc_id >= 700"), names))
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, sketch(stats, names).collect()))
     for r in scales(parts).collect():
-        mine = sorted(v for i, v in enumerate(values) if v is not None and (i % 2 == 1) == (r.lang == "en"))
+        mine = sorted(v for i, v in enumerate(values) if v is not None and (i % 2 == 1) == (r.group == "en"))
         median = mine[(len(mine) - 1) // 2]
         mad = sorted(abs(v - median) for v in mine)[(len(mine) - 1) // 2]
         assert abs(r.median - median) <= 0.03 * median and abs(r.mad - mad) <= 0.1 * mad and r.total == len(mine)
@@ -65,3 +66,10 @@ def test_sketches_merge_and_scale(spark):
         exact = (sum(v < r.n_words for v in mine) + sum(v == r.n_words for v in mine) / 2) / len(mine)
         assert abs(r.percentile["n_words"] - exact) < 0.03
     assert {r.doc_id for r in flagged(marked, {"n_words": (None, 1.2)}).collect()} <= {i for i, v in enumerate(values) if v and v > 75}
+
+
+def test_rare_languages_share_a_group(spark):
+    stats = spark.createDataFrame([(i, "en") for i in range(9)] + [(20 + i, "de") for i in range(5)] + [(30 + i, f"x{i}") for i in range(4)], "doc_id int, lang string")
+    got = {r.lang: r.group for r in pooled(stats, 2).collect()}
+    assert got["en"] == "en" and got["de"] == "de" and {got[f"x{i}"] for i in range(4)} == {"other"}
+    assert pooled(stats.where("false")).count() == 0
