@@ -7,19 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import previous
 
-def step_delta(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Adds ``delta`` from the event before of the same key and ``from_start`` from its first one."""
-    window = Window.partitionBy(key).orderBy(*order)
-    first = F.first(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("delta", F.col(value) - F.lag(value).over(window)).withColumn("from_start", F.col(value) - first)
 
+def step_delta(events: DataFrame, key: str, order: list[str], value: str, hot_rows: int = 2_000_000) -> DataFrame:
+    """Adds ``delta`` from the event before of the same key and ``from_start`` from its first one.
 
-def changed_only(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    The first values are found by partial minima; keys with very many events are looked at in ranges.
+    """
+    first = events.groupBy(F.col(key).alias("_key")).agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    before = previous(events, [key], order, [value], hot_rows)
+    joined = before.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    made = joined.withColumn("delta", F.col(value) - F.col(f"prev_{value}")).withColumn("from_start", F.col(value) - F.col("_first"))
+    return made.drop("_key", "_first", f"prev_{value}")
+
+
+def changed_only(events: DataFrame, key: str, order: list[str], value: str, hot_rows: int = 2_000_000) -> DataFrame:
     """The events whose value differs from that of the event before; the first of a key counts as a change."""
-    window = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(value).over(window)
-    return events.withColumn("_b", before).where(~F.col(value).eqNullSafe(F.col("_b"))).drop("_b")
+    before = previous(events, [key], order, [value], hot_rows)
+    return before.where(~F.col(value).eqNullSafe(F.col(f"prev_{value}"))).drop(f"prev_{value}")
 
 
 def state_delta(before: DataFrame, after: DataFrame, key: list[str], amount: str) -> DataFrame:
@@ -89,13 +95,12 @@ def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     return every.join(counted, "bucket", "left").select("bound", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def milestones(rows: DataFrame, key: str, order: list[str], total: str, step: int, exact: list[int] = ()) -> DataFrame:
+def milestones(rows: DataFrame, key: str, order: list[str], total: str, step: int, exact: list[int] = (), hot_rows: int = 2_000_000) -> DataFrame:
     """The events at which a running total reaches a new multiple of ``step``, or exactly one of ``exact``."""
-    window = Window.partitionBy(key).orderBy(*order)
-    was = F.coalesce(F.lag(total).over(window), F.lit(0))
-    marked = rows.withColumn("_was", was)
-    crossed = F.floor(F.col(total) / step) > F.floor(F.col("_was") / step)
-    return marked.where(crossed | (F.col(total).isin(list(exact)) & (F.col("_was") != F.col(total)))).drop("_was")
+    was = F.coalesce(F.col(f"prev_{total}"), F.lit(0))
+    crossed = F.floor(F.col(total) / step) > F.floor(was / step)
+    met = F.col(total).isin(list(exact)) & (was != F.col(total))
+    return previous(rows, [key], order, [total], hot_rows).where(crossed | met).drop(f"prev_{total}")
 
 
 def replay(logged: DataFrame, key: str, order: list[str], value: str, check: Column) -> DataFrame:

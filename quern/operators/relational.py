@@ -15,21 +15,20 @@ def better(level: str, time: str, at_level: Column, at_time: Column) -> Column:
     return (F.col(level) > at_level) | ((F.col(level) == at_level) & (F.col(time) < at_time))
 
 
-def competition_rank(rows: DataFrame, level: str, time: str, by: list[str] = (), out: str = "rank", group_rows: int = 0) -> DataFrame:
-    """1 + the number of rows that are strictly better; equal rows share a rank.
+def competition_rank(rows: DataFrame, level: str, time: str, by: list[str] = (), out: str = "rank") -> DataFrame:
+    """1 + the number of rows of the group that are strictly better; equal rows share a rank.
 
-    With ``by`` the ranks are made within groups by a window. Without it there is one group as large as the table:
-    the distinct (level, time) pairs are counted, their running total is made over range partitions, and the ranks
-    are joined back, so no task sorts the whole table.
+    The distinct (level, time) pairs are counted, their running total is made over range partitions, and the ranks
+    are joined back, so neither the table nor a large group is sorted in one task. Null levels and times rank as the
+    sort puts them: null levels and null times first.
     """
-    if by:
-        window = Window.partitionBy(*by).orderBy(F.col(level).desc(), F.col(time).asc())
-        return rows.withColumn(out, F.rank().over(window).cast("bigint"))
-    steps = rows.groupBy(F.col(level).alias("_level"), F.col(time).alias("_time")).agg(F.count(F.lit(1)).alias("_n"))
+    by = list(by)
+    steps = rows.groupBy(*by, F.col(level).alias("_level"), F.col(time).alias("_time")).agg(F.count(F.lit(1)).alias("_n"))
     steps = steps.withColumn("_down", -F.col("_level"))
-    upto = running_total(steps, [], ["_down", "_time"], "_n", "_upto").select("_level", "_time", (F.col("_upto") - F.col("_n") + 1).alias(out))
-    cond = F.col(level).eqNullSafe(F.col("_level")) & F.col(time).eqNullSafe(F.col("_time"))
-    return rows.join(upto, cond).drop("_level", "_time")
+    upto = running_total(steps, by, ["_down", "_time"], "_n", "_upto")
+    ranks = upto.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_level", "_time", (F.col("_upto") - F.col("_n") + 1).alias(out))
+    cond = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)] + [F.col(level).eqNullSafe(F.col("_level")), F.col(time).eqNullSafe(F.col("_time"))]
+    return rows.join(ranks, cond).drop("_level", "_time", *[f"_b{i}" for i in range(len(by))])
 
 
 def position(rows: DataFrame, order: list[tuple[str, bool]], out: str = "position") -> DataFrame:

@@ -116,3 +116,30 @@ def running_total(rows: DataFrame, group: list[str], order: list[str], value: st
     cond = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_part") == F.col("_p")]
     joined = made.join(offsets, cond, "left")
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_local") + F.col("_before")).alias(out))
+
+
+def previous(rows: DataFrame, group: list[str], order: list[str], columns: list[str], hot_rows: int = 2_000_000, max_hot: int = 2000, partitions: int | None = None) -> DataFrame:
+    """Adds ``prev_<column>``: the values of the row before in the order of its group, null for the first row.
+
+    Groups of more than ``hot_rows`` rows (or total / max_hot, whichever is more) are cut into ranges of their order,
+    looked at range by range, and joined at the seams with the last row of the range before. All other groups take
+    one window. ``order`` should be unique in a group. A null group is a group.
+    """
+    window = Window.partitionBy(*group).orderBy(*order)
+    plain = lambda df: df.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
+    hot = cut(hot_keys(rows, group, rows.count(), max_hot, hot_rows).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]), "hot")
+    if hot.isEmpty():
+        return plain(rows)
+    is_hot = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    cold = plain(rows.join(F.broadcast(hot), is_hot, "left_anti"))
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.join(F.broadcast(hot), is_hot, "left_semi").repartitionByRange(partitions, *group, *order).withColumn("_part", F.spark_partition_id())
+    made = cut(ranged, "ranged")
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    inner = made.withColumns({f"prev_{c}": F.lag(c).over(inside) for c in columns}).withColumn("_rn", F.row_number().over(inside))
+    ends = made.groupBy("_part", *group).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    up = Window.partitionBy(*group).orderBy("_part")  # one row per range
+    seams = ends.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.lag("_last").over(up).alias("_before"))
+    joined = inner.join(seams, [F.col("_part") == F.col("_p"), *is_hot], "left")
+    values = [F.when(F.col("_rn") == 1, F.col("_before")[c]).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in columns]
+    return cold.unionByName(joined.select(*[F.col(f"`{c}`") for c in rows.columns], *values))

@@ -2,7 +2,8 @@ from itertools import accumulate
 
 import pytest
 
-from quern.runtime import hot_keys, running_total
+from quern.operators.events import changed_only, step_delta
+from quern.runtime import hot_keys, previous, running_total
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -24,3 +25,16 @@ def test_running_total_of_all_and_of_nothing(spark):
 def test_hot_keys_are_exact_and_bounded(spark):
     df = spark.createDataFrame([("h",)] * 50 + [(f"k{i}",) for i in range(50)], "k string").repartition(5)
     assert [(r.k, r.n_rows) for r in hot_keys(df, ["k"], 100, max_hot=10, min_rows=5).collect()] == [("h", 50)]
+
+
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_rows_before_in_hot_and_cold_groups(spark, hot):
+    rows = [(g, i, (i * 5) % 7 if i % 4 else None) for g, n in (("big", 60), ("small", 4), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(3)
+    got = {(r.g, r.i): r.prev_v for r in previous(df, ["g"], ["i"], ["v"], hot_rows=hot, partitions=5).collect()}
+    value = {(g, i): v for g, i, v in rows}
+    assert got == {(g, i): value.get((g, i - 1)) for g, i, _ in rows}
+    change = {(r.g, r.i) for r in changed_only(df, "g", ["i"], "v", hot).collect()}
+    assert change == {k for k in value if value[k] != value.get((k[0], k[1] - 1))}
+    delta = {(r.g, r.i): (r.delta, r.from_start) for r in step_delta(df.na.fill(0), "g", ["i"], "v", hot).collect() if r.g}
+    assert all(d == ((value[k] or 0) - (value[(k[0], k[1] - 1)] or 0) if k[1] else None, value[k] or 0) for k, d in delta.items())
