@@ -105,3 +105,29 @@ def short_amount(value: Column) -> Column:
     """1234567 as 1.2M, 45678 as 45K, smaller as they are."""
     millions = F.concat(F.floor(value / 100_000) / 10, F.lit("M"))
     return F.when(value >= 10_000_000, F.concat(F.floor(value / 1_000_000).cast("string"), F.lit("M"))).when(value >= 1_000_000, millions).when(value >= 100_000, F.concat(F.floor(value / 1000).cast("string"), F.lit("K"))).otherwise(value.cast("string"))
+
+
+def split_list(text: Column, at: str = r"\s*[,|/]\s*") -> Column:
+    """Parts of a list that is written as text, cleaned and without repeats; null gives an empty list."""
+    return unique_strings(F.split(F.coalesce(text, F.lit("")), at))
+
+
+def aliases(names: Column, title: Column) -> Column:
+    """Other names: cleaned, without repeats and without the title itself, whatever its case."""
+    return F.filter(unique_strings(F.coalesce(names, F.array().cast("array<string>"))), lambda x: F.lower(x) != F.lower(F.trim(F.coalesce(title, F.lit("")))))
+
+
+def matched_types(texts: Column, rules: list[tuple[str, str]]) -> Column:
+    """The types of the rules (type, pattern) of which any text matches the pattern, in the order of the rules."""
+    have = F.coalesce(texts, F.array().cast("array<string>"))
+    return F.filter(F.array(*[F.when(F.exists(have, _like(pattern)), F.lit(kind)) for kind, pattern in rules]), lambda x: x.isNotNull())
+
+
+def _like(pattern: str):
+    return lambda x: x.rlike(f"(?i){pattern}")
+
+
+def numbers_of(fields: Column, wanted: list[str]) -> Column:
+    """Map of the wanted fields that read as numbers."""
+    kept = F.map_filter(fields, lambda k, v: k.isin(wanted) & v.try_cast("double").isNotNull())
+    return F.transform_values(kept, lambda k, v: v.try_cast("double"))
