@@ -156,6 +156,7 @@ ORACLE = {
     "temporal_stats": " UNION ALL ".join(f"SELECT reason, count(*) AS n, {lax} AS lax FROM (SELECT {_REASON(lax)} AS reason FROM page_nodes) GROUP BY 1" for lax in (False, True)),
     "temporal_sample": f"SELECT node_key, reason FROM (SELECT node_key, reason, row_number() OVER (PARTITION BY reason ORDER BY node_key) AS rn FROM (SELECT node_key, {_REASON(False)} AS reason FROM page_nodes) WHERE reason <> 'available_at_cutoff') WHERE rn <= 50",
     "partial_dates": f"SELECT CASE WHEN date_added IS NULL OR trim(date_added) = '' THEN NULL WHEN {_PART('date_added', 3)} IS NOT NULL THEN 'day' WHEN {_PART('date_added', 2)} IS NOT NULL THEN 'month' WHEN {_PART('date_added', 1)} IS NOT NULL THEN 'year' ELSE 'raw' END AS precision, count(*) AS n, min({_D('date_added')}) AS first, max({_D('date_added')}) AS last FROM page_nodes GROUP BY 1",
+    "lifecycle": "WITH d AS (SELECT record_id, unnest(CAST(json_extract(facts, '$.fields.release') AS VARCHAR[])) AS d FROM structured_records WHERE json_type(facts, '$.fields.release') = 'ARRAY'), m AS (SELECT record_id, min(trim(d)) AS value FROM d WHERE trim(d) <> '' GROUP BY 1) SELECT record_id, value, CASE WHEN regexp_matches(value, '^(19|20)[0-9]{2}-[0-9]+-[0-9]+') THEN 'day' WHEN regexp_matches(value, '^(19|20)[0-9]{2}-[0-9]+') THEN 'month' WHEN regexp_matches(value, '^(19|20)[0-9]{2}') THEN 'year' ELSE 'raw' END AS precision FROM m",
     "edge_dedupe": _GRAPH + "SELECT * FROM merged",
     "node_merge": _GRAPH + "SELECT n.id, any_value(k.kind) AS kind, arg_max(label, node_key) AS label, arg_max(primary_type, node_key) AS primary_type, arg_max(date_added, node_key) AS date_added, arg_max(members, node_key) AS members, count(*) AS deliveries FROM nodes n JOIN kinds k ON n.id = k.id GROUP BY 1",
     "degrees": _GRAPH + "SELECT * FROM deg",

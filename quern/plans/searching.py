@@ -115,6 +115,7 @@ SELECT query, node, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY qu
     "response_score": "WITH x AS (SELECT doc_id, contains(lower(text), 'level')::INT + contains(lower(text), 'tower')::INT + contains(lower(text), 'hammer')::INT AS hits, contains(lower(text), 'guide')::INT + contains(lower(text), '|-')::INT AS bad FROM documents) SELECT doc_id, hits, bad, hits - 2 * bad AS score FROM x",
     "title_normalize": r"SELECT raw_id, lower(trim(replace(title, '_', ' '))) AS title_form, lower(trim(regexp_replace(replace(title, '_', ' '), '[\s\p{Z}]+', ' ', 'g'))) AS normal_name, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'section') AS slug, regexp_replace(title, '\d+$', '') AS base_field FROM raw_pages",
     "clip": "SELECT doc_id, CASE WHEN length(text) > 60 THEN rtrim(substring(text, 1, 57), ' ') || '...' ELSE text END AS clipped FROM documents",
+    "link_extract": r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '\[\[([^\[\]|#]*)(?:#[^\[\]|]*)?(?:\|([^\[\]]*))?\]\]', 1) AS ts, regexp_extract_all(text, '\[\[([^\[\]|#]*)(?:#[^\[\]|]*)?(?:\|([^\[\]]*))?\]\]', 2) AS ls FROM documents), u AS (SELECT doc_id, unnest(ts) AS t, unnest(ls) AS l, generate_subscripts(ts, 1) AS i FROM m), k AS (SELECT doc_id, trim(t) AS target, coalesce(nullif(trim(l), ''), trim(t)) AS label, i FROM u WHERE trim(t) <> '' AND NOT regexp_matches(trim(t), '^\s*(file|image|category)\s*:', 'i')) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS at, target, label FROM k",
     "token_counts": f"SELECT doc_id, len({_TOK('text')}) AS tokens FROM documents",
     "tri_state": "WITH x AS (SELECT lower(trim(json_extract_string(facts, '$.fields.members[0]'))) AS m FROM structured_records) SELECT CASE WHEN regexp_matches(m, '^(yes|true|1\\b)') THEN true WHEN regexp_matches(m, '^(no\\b|false|0\\b)') THEN false END AS members, count(*) AS n FROM x GROUP BY 1",
     "unique_strings": "WITH x AS (SELECT record_id, list_transform(taxonomy.categories, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))) AS cs FROM structured_records), f AS (SELECT record_id, list_filter(cs, lambda c: c IS NOT NULL AND c <> '') AS cs FROM x), u AS (SELECT record_id, list_filter(cs, lambda c, i: list_position(cs, c) = i) AS cs FROM f) SELECT record_id, array_to_string(cs, '|') AS categories, len(cs) AS n FROM u",
