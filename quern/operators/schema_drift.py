@@ -78,7 +78,8 @@ def value_hash(value: Any) -> int:
 
 
 def _lines(lines: DataFrame, *more: str) -> DataFrame:
-    return lines.select(F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col("rec_key").cast("string"), F.col("line_no").cast("int"), F.col("body").cast("string"), *more)
+    known = lines.where(F.col("file_seq").isNotNull())
+    return known.select(F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col("rec_key").cast("string"), F.col("line_no").cast("int"), F.col("body").cast("string"), *more)
 
 
 def leaf_counts(lines: DataFrame) -> DataFrame:
@@ -293,7 +294,8 @@ def drift(lines: DataFrame, least_share: float = 0.2, same_share: float = 0.8) -
     A field that is gone is ``renamed`` if a new field holds the values that it held in the file before, for at
     least ``same_share`` of the record keys that have both; where several would do, the flooded scores decide. A
     key with several lines in a file has the value of its first line that has one; null keys are not compared.
-    Repeated lines count as lines. An empty table gives no changes.
+    Repeated lines count as lines. A null feed is a feed; lines without a file_seq belong to no file. An empty table
+    gives no changes.
     """
     # The lines are parsed twice: for the schemas, and for the values of the fields that moved. Both are written once.
     schemas = cut(file_schemas(leaf_counts(lines), least_share), "schemas").where(F.col("prev_seq").isNotNull())

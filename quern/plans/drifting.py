@@ -13,8 +13,11 @@ KEEP = ["line_id", "feed", "file_name", "file_seq", "arrived_at", "line_no", "re
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    first, second = (drift(table(spark, sf, t)).select(F.lit(t).alias("tbl"), "feed", "file_seq", "change", "field", "new_field") for t in TABLES)
-    return first.unionByName(second)
+    """Both tables in one pass: a feed of either is a feed of its own."""
+    parts = [table(spark, sf, t).select(F.concat_ws("/", F.lit(t), "feed").alias("feed"), "file_seq", "rec_key", "line_no", "body") for t in TABLES]
+    found = drift(parts[0].unionByName(parts[1]))
+    tbl = F.substring_index("feed", "/", 1)
+    return found.select(tbl.alias("tbl"), F.expr("CASE WHEN instr(feed, '/') > 0 THEN substring(feed, instr(feed, '/') + 1) END").alias("feed"), "file_seq", "change", "field", "new_field")
 
 
 def p2_structured_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +36,7 @@ def _changes(tbl: str) -> str:
     return f"""SELECT '{tbl}' AS tbl, * FROM (
 WITH l AS (SELECT feed, file_seq, line_no, rec_key, body FROM {tbl} WHERE json_valid(body)),
 n AS (SELECT feed, file_seq, count(*) AS lines FROM l GROUP BY 1, 2),
-v AS (SELECT feed, file_seq, line_no, rec_key, substring(t.fullkey, 3) AS path, CAST(json(t.value) AS VARCHAR) AS value,
+v AS (SELECT feed, file_seq, line_no, rec_key, replace(substring(t.fullkey, 3), '"', '') AS path, CAST(json(t.value) AS VARCHAR) AS value,
   CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS type
   FROM l, json_tree(l.body) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '[')),
 c AS (SELECT feed, file_seq, path, type, count(*) AS k FROM v GROUP BY ALL),

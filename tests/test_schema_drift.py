@@ -31,6 +31,13 @@ def test_rare_fields_broken_blank_null_and_odd_lines(spark):
     assert found(spark, [("f", 1, a), ("f", 2, b), ("f", 3, c)]) == [("f", 3, "added", "fifth", "")]
 
 
+def test_nulls_and_very_long_lines(spark):
+    rows = [(1, None, 1, 1, "k", json.dumps({"old": "v" * 300_000, "n": 1}), None), (2, None, 1, None, None, json.dumps({"old": "w", "n": 1}), None)]
+    rows += [(3, None, 2, 1, "k", json.dumps({"new": "v" * 300_000, "n": "1"}), None), (4, None, 2, 1, "k", json.dumps({"new": "v" * 300_000, "n": "1"}), None), (5, None, None, 1, "k", json.dumps({"zzz": 1}), None)]
+    got = sorted((r.feed, r.file_seq, r.change, r.field, r.new_field) for r in drift(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(None, 2, "renamed", "old", "new"), (None, 2, "type_changed", "n", "")]
+
+
 def test_share_of_equal_values_decides(spark):
     a = [{"old": i} for i in range(10)]
     b = [{"new": i if i < 8 else -1} for i in range(10)]
