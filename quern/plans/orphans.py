@@ -11,8 +11,10 @@ from quern.runtime import table
 
 
 def _references(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "graph_edges").select(F.lit("graph_edges").alias("tbl"), F.col("edge_id").alias("ref_id"), F.lit(-1).alias("link_ord"), normal_name(F.col("target")).alias("key"), F.col("built_at").alias("at"))
-    links = table(spark, sf, "raw_pages").select("raw_id", "fetched_at", F.posexplode("links").alias("link_ord", "link"))
+    edges = table(spark, sf, "graph_edges").where(F.col("target").isNotNull()).select(F.lit("graph_edges").alias("tbl"), F.col("edge_id").alias("ref_id"), F.lit(-1).alias("link_ord"), normal_name(F.col("target")).alias("key"), F.col("built_at").alias("at"))
+    # Zipped from two leaves, so that only these are read from the files.
+    both = F.arrays_zip(F.col("links.ns").alias("ns"), F.col("links.title").alias("title"))
+    links = table(spark, sf, "raw_pages").select("raw_id", "fetched_at", F.posexplode(both).alias("link_ord", "link"))
     named = links.where((F.col("link.ns") == 0) & F.col("link.title").isNotNull())
     title = normal_name(F.substring_index("link.title", "#", 1))
     pages = named.select(F.lit("raw_pages").alias("tbl"), F.col("raw_id").alias("ref_id"), "link_ord", F.concat(F.lit("page:"), title).alias("key"), F.col("fetched_at").alias("at"))

@@ -30,7 +30,8 @@ CHILDREN = {
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "structured_records").select("record_id", "facts", "variants", "taxonomy")
+    names = F.struct("taxonomy.categories", "taxonomy.hidden_categories").alias("taxonomy")
+    return table(spark, sf, "structured_records").select("record_id", "facts", "variants", names)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
