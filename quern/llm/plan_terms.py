@@ -16,7 +16,7 @@ def term(name: Column) -> Column:
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "raw_pages")
-    rows = pages.select(F.transform("categories", lambda x: term(x["category"])).alias("categories"), F.transform("templates", lambda x: term(x["title"])).alias("templates"))
+    rows = pages.select(F.transform(F.col("categories.category"), term).alias("categories"), F.transform(F.col("templates.title"), term).alias("templates"))
     return with_mark(term_frequencies(rows, ["categories", "templates"]), pages.count())
 
 
