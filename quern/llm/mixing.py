@@ -48,7 +48,7 @@ class Mix:
     with a null or zero share or without tokens give nothing; documents without tokens are left out, as they have
     no place in a queue of tokens. Null ids and repeated rows are documents like any other. targets is a small
     table of the user's, one row per source, of which the driver holds up to ``most_sources``; a repeated source
-    counts with its first row. Empty tables give an empty mix.
+    counts with its largest share. Empty tables give an empty mix.
     """
 
     def __init__(self, sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, most_sources: int = 10_000):
@@ -56,7 +56,7 @@ class Mix:
         if len(rows) > most_sources:
             raise ValueError(f"more than {most_sources} sources have a target")
         first = {}
-        for r in rows:
+        for r in sorted(rows, key=lambda r: (r["key"], -r["target_share"], -r["max_repeats"], r["source"] or "")):
             first.setdefault(r["key"], r)
         whole = sum(r["target_share"] for r in first.values()) or 1.0
         self.share = {k: r["target_share"] / whole for k, r in first.items()}

@@ -50,14 +50,19 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return placed
 
 
-def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
+def pieces(sized: DataFrame, capacities: DataFrame, most_packs: int = 1000) -> DataFrame:
     """One row per piece and capacity: an item above the capacity is split into whole containers and a rest.
 
-    sized: id, n_tokens, slot. capacities: pack_name, capacity_tokens, a small table of the user's. Items of no
-    tokens stay items, as they take no room. A capacity that is null or below 1 is left out.
+    sized: id, n_tokens, slot. capacities: pack_name, capacity_tokens, a small table of the user's of at most
+    ``most_packs`` rows. Items of no tokens stay items, as they take no room. A capacity that is null or below 1 is
+    left out, and no capacity at all gives no pieces.
     """
     valid = capacities.where(F.col("capacity_tokens") >= 1).select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    packs = F.array(*[F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).alias("capacity")) for r in valid.collect()])
+    rows = valid.limit(most_packs + 1).collect()
+    if len(rows) > most_packs:
+        raise ValueError(f"more than {most_packs} capacities")
+    kind = "array<struct<pack_name:string,capacity:bigint>>"
+    packs = F.array(*[F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).alias("capacity")) for r in rows]).cast(kind)
     both = sized.withColumn("_pack", F.explode(packs)).select("id", "slot", "n_tokens", "_pack.*")
     n = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
     cut_up = both.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))

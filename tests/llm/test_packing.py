@@ -55,6 +55,8 @@ def test_whole_texts_in_containers(spark):
 def test_empty_table(spark):
     packs = spark.createDataFrame([("s", 64)], "pack_name string, capacity_tokens int")
     assert pack(spark.createDataFrame([], "id bigint, n_tokens bigint, slot bigint"), packs).count() == 0
+    some = spark.createDataFrame([(1, 5, 1, "clash")], "id bigint, n_tokens bigint, slot bigint, capacity string")
+    assert pack(some, packs.where("false")).count() == 0 and pack(some, packs).count() == 1
 
 
 @pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/{VOCABULARY}"), reason="no vocabulary files here")
