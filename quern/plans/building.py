@@ -18,7 +18,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     rules = [("wiki_link", F.col("links"), "page"), ("in_category", F.col("categories"), "category")]
-    return B.edges_from(_records(spark, sf), B.page_id(F.col("title")), rules, most_links=5)
+    return B.edges_from(_records(spark, sf), B.page_id(F.col("title")), rules)
 
 
 def graph_edges_built(spark: SparkSession, sf: str) -> DataFrame:
