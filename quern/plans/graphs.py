@@ -84,7 +84,7 @@ def endpoint_join(spark: SparkSession, sf: str) -> DataFrame:
 def _ranks(spark: SparkSession, sf: str, links_only: bool = False) -> DataFrame:
     edges = _edges(spark, sf)
     edges = edges.where((F.col("relation") == "wiki_link") & F.col("source").startswith("page:")) if links_only else edges
-    return G.pagerank(_nodes(spark, sf), edges.where(F.col("source") != F.col("target")), rounds=10)
+    return G.pagerank(_nodes(spark, sf), edges.where(F.col("source") != F.col("target")))
 
 
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
