@@ -13,7 +13,13 @@ from quern.runtime import cut, table
 
 CUT = "2012-06-15"
 #: How much a relation counts when edges are ranked for retrieval.
-PRIORITY = {"produces_item": 5.0, "requires_material": 4.5, "requires_skill": 4.0, "infobox_link": 3.5, "lead_link": 3.0, "variant_location": 2.5, "equips_in_slot": 2.0, "uses_combat_style": 1.5, "has_action": 1.0, "in_category": 0.5, "wiki_link": 0.25}
+PRIORITY = {
+    "lead_link": 5.0, "infobox_link": 4.0, "requires_material": 9.0, "requires_skill": 9.0, "requires_tool": 8.0, "requires_facility": 8.0, "produces_item": 8.0, "variant_location": 4.0,
+    "variant_quest": 4.0, "has_action": 3.0, "variant_action": 3.0, "equips_in_slot": 2.5, "uses_combat_style": 2.0, "wiki_link": 1.0, "in_category": 0.5,
+}
+#: Relations that count as links between pages, and the infobox fields that hold dates.
+PAGE_LINKS = ("wiki_link", "lead_link", "infobox_link")
+DATE_FIELDS = ("release", "removal", "update", "removalupdate")
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,22 +111,34 @@ def _priority() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation")), F.lit(1.0))
 
 
-def _best_edges(spark: SparkSession, sf: str, most: int) -> DataFrame:
+def _page_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """id, rank of the pages: PageRank over all links from pages to pages, where n is all nodes."""
+    nodes, edges = _nodes(spark, sf), _edges(spark, sf)
+    pages = cut(G.merge_nodes(nodes, "node_key", ["kind"]).where(F.col("kind") == "page").select("id"), "pages")
+    links = edges.where(F.col("relation").isin(*PAGE_LINKS) & F.col("target").startswith("page:") & (F.col("source") != F.col("target")))
+    return cut(G.pagerank(nodes, links.join(pages.select(F.col("id").alias("source")), "source", "left_semi")).join(pages, "id", "left_semi"), "page-ranks")
+
+
+def _best_edges(spark: SparkSession, sf: str, most: int, ranks: DataFrame) -> DataFrame:
+    """ranks: id, rank of the pages; a target that is no page has rank 0."""
     edges = G.merge_edges(_edges(spark, sf), "edge_id").where(F.col("source").isNotNull())
-    score = F.round(_priority() * F.col("weight") * F.when(F.coalesce("field", F.lit("")).isin("release", "update"), 0.2).otherwise(1.0), 6)
-    return G.top_edges(edges, score, most, ["target", "relation", F.coalesce("field", F.lit(""))])
+    ranked = edges.join(ranks.select(F.col("id").alias("target"), F.col("rank").alias("_rank")), "target", "left")
+    dated = (F.col("relation") == "infobox_link") & F.coalesce("field", F.lit("")).isin(*DATE_FIELDS)
+    named = F.when(F.col("target").rlike(r"^(?:page:)?(?:\d{4}|\d{1,2} [a-z]+)\z"), 0.2).otherwise(1.0)
+    score = F.round(G.edge_score(_priority(), F.col("weight"), F.coalesce("_rank", F.lit(0.0)), dated) * named, 6)
+    return G.top_edges(ranked, score, most, ["target", "relation", F.coalesce("field", F.lit(""))])
 
 
 def top_edges_per_source(spark: SparkSession, sf: str) -> DataFrame:
-    return _best_edges(spark, sf, 3).select("source", "target", "relation", "score", "rn")
+    return _best_edges(spark, sf, 3, _page_ranks(spark, sf)).select("source", "target", "relation", "score", "rn")
 
 
 def one_hop(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of the pages of primary type quest over their best two edges."""
     seeds = _nodes(spark, sf).where(F.col("primary_type") == "quest").select("id")
-    best = cut(_best_edges(spark, sf, 2), "best")
-    ranks = best.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("rank"))
-    return G.expand(seeds, best, 2, ranks)
+    ranks = _page_ranks(spark, sf)
+    best = cut(_best_edges(spark, sf, 2, ranks), "best")
+    return G.expand(seeds, best, 2, ranks.select("id", F.round("rank", 9).alias("rank")))
 
 
 def recursive_reach(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +167,8 @@ s AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM
 r AS (SELECT 0 AS i, id, 1.0::DOUBLE / n AS rank FROM nodes, c UNION ALL
  SELECT i + 1, x.id, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) FROM (SELECT p.i, p.id, p.n, coalesce(sum(g.rank * s.share), 0) AS got, any_value(l.loose) AS loose FROM (SELECT r.i, r.id, c.n FROM r, c WHERE r.i < 10) p LEFT JOIN s ON s.target = p.id LEFT JOIN r g ON g.id = s.source, (SELECT coalesce(sum(rank), 0) AS loose FROM r WHERE id NOT IN (SELECT source FROM s)) l GROUP BY 1, 2, 3) x)
 SELECT id, round(rank, 9) AS rank FROM r WHERE i = 10"""
-_PRIO = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " ELSE 1.0 END"
+_SQL_PRIORITY = {"produces_item": 5.0, "requires_material": 4.5, "requires_skill": 4.0, "infobox_link": 3.5, "lead_link": 3.0, "variant_location": 2.5, "equips_in_slot": 2.0, "uses_combat_style": 1.5, "has_action": 1.0, "in_category": 0.5, "wiki_link": 0.25}  # those of before; the SQL stays as it was
+_PRIO = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SQL_PRIORITY.items()) + " ELSE 1.0 END"
 _BEST = f", best AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target, relation, coalesce(field, '')) AS rn FROM (SELECT *, round({_PRIO} * weight * CASE WHEN field IN ('release', 'update') THEN 0.2 ELSE 1.0 END, 6) AS score FROM merged)) "
 ORACLE = {
     "temporal_filter": f"SELECT node_key, date_added, date_removed, reason, reason LIKE 'available%' AS kept FROM (SELECT *, {_REASON(False)} AS reason FROM page_nodes)",

@@ -1,6 +1,7 @@
 """Queries do the whole job of the reference: no cuts of their own."""
 
 import datetime
+import math
 
 from quern.plans import building, graphs
 
@@ -34,3 +35,15 @@ def test_pagerank_takes_the_25_rounds_of_the_reference(spark, tmp_path):
     for query in (graphs.pagerank, graphs.pagerank_subgraph):
         got = {r.id[5:]: r.rank for r in query(spark, str(tmp_path)).collect()}
         assert all(abs(got[n] - rank[n]) < 2e-9 for n in rank)
+
+
+def test_best_edges_count_the_rank_of_the_target_and_dates(spark, tmp_path):
+    link = lambda s, t: (f"page:{s}", f"page:{t}", "wiki_link", None, 1.0)
+    info = lambda t, field: ("page:s", t, "infobox_link", field, 5.0)
+    graph(spark, tmp_path, ["page:s", "page:a", "page:z", "page:q"], [link("s", "a"), link("s", "z"), link("a", "z"), link("q", "z"), info("page:2004", None), info("page:x", "removal"), ("page:q", "action:dig", "has_action", None, 2.0)])
+    rank = {"page:a": 0.1, "page:z": 0.4}
+    ranks = spark.createDataFrame(list(rank.items()), "id string, rank double")
+    got = {(r.source, r.target): (r.rn, r.score) for r in graphs._best_edges(spark, str(tmp_path), 9, ranks).collect()}
+    assert got["page:s", "page:z"][0] < got["page:s", "page:a"][0]
+    assert got["page:s", "page:z"][1] == round(1 + math.log1p(rank["page:z"] * 1e5), 6)
+    assert got["page:s", "page:2004"][1] == got["page:s", "page:x"][1] == 4.0 and got["page:q", "action:dig"][1] == 6.0
