@@ -17,7 +17,16 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return S.postings(_pages(spark, sf), "node", {"title": F.col("title"), "primary_type": F.col("primary_type")})
+    """All parts of the reference that a table has: aliases and types of all nodes of a page, categories and fields of
+    all its records. No table has leads."""
+    nodes = table(spark, sf, "page_nodes").groupBy(F.col("pageid").alias("node")).agg(F.flatten(F.collect_set("aliases")).alias("aliases"), F.flatten(F.collect_set("types")).alias("types"))
+    fields = F.from_json(F.get_json_object("facts", "$.fields"), "map<string,array<string>>")
+    records = table(spark, sf, "structured_records").where(F.col("pageid").isNotNull()).groupBy(F.col("pageid").alias("node")).agg(F.flatten(F.collect_set("taxonomy.categories")).alias("categories"), F.flatten(F.flatten(F.collect_set(F.map_values(fields)))).alias("fields"))
+    rows = _pages(spark, sf).join(nodes, "node").join(records, "node", "left")
+    none = F.array().cast("array<string>")
+    text = lambda c: F.array_join(F.coalesce(c, none), " ")
+    parts = {"title": F.col("title"), "alias": text("aliases"), "primary_type": F.col("primary_type"), "types": text("types"), "category": text("categories"), "field": text("fields")}
+    return S.postings(rows, "node", parts)
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:

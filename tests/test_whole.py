@@ -3,7 +3,7 @@
 import datetime
 import math
 
-from quern.plans import building, graphs
+from quern.plans import building, graphs, searching
 
 LINK = "array<struct<ns:int,title:string,exists:boolean>>"
 
@@ -47,3 +47,11 @@ def test_best_edges_count_the_rank_of_the_target_and_dates(spark, tmp_path):
     assert got["page:s", "page:z"][0] < got["page:s", "page:a"][0]
     assert got["page:s", "page:z"][1] == round(1 + math.log1p(rank["page:z"] * 1e5), 6)
     assert got["page:s", "page:2004"][1] == got["page:s", "page:x"][1] == 4.0 and got["page:q", "action:dig"][1] == 6.0
+
+
+def test_postings_weigh_aliases_types_categories_and_fields(spark, tmp_path):
+    columns = "node_key bigint, pageid bigint, title string, primary_type string, aliases array<string>, types array<string>"
+    write(spark, tmp_path, "page_nodes", [(1, 7, "Red Hat", "item", ["Cap"], ["item", "cloth"]), (2, 7, "Red Hat", "item", ["Beret", None], None), (3, 8, "Plain", None, None, None)], columns)
+    write(spark, tmp_path, "structured_records", [(7, (["Felt things"],), '{"fields": {"release": ["2004", "soon"]}}'), (7, (None,), None)], "pageid bigint, taxonomy struct<categories:array<string>>, facts string")
+    got = {(r.node, r.token): r.weight for r in searching.postings(spark, str(tmp_path)).collect()}
+    assert got == {(7, "red"): 12.0, (7, "hat"): 12.0, (7, "cap"): 10.0, (7, "beret"): 10.0, (7, "item"): 8.0, (7, "cloth"): 4.0, (7, "felt"): 3.0, (7, "things"): 3.0, (7, "2004"): 2.0, (7, "soon"): 2.0, (8, "plain"): 12.0}
