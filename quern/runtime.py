@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, a temporary one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, or what setCheckpointDir named.
+
+    Where neither is set, a local session gets a temporary folder, which is then the session's; on a cluster, whose
+    machines share no such folder, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = named.get() if named.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all machines of the cluster share")
+        made = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{made}")
+        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own under the shared one; ``drop_cuts`` and ``scope`` remove it."""
+    path = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    _CUTS.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df once into the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
-    The table is columnar, so later readers only fetch the columns they use. ``drop_cuts`` removes the tables;
-    it also runs when the interpreter ends.
+    The table is columnar, so later readers only fetch the columns they use. It is there until the ``scope`` in which
+    it was made ends, or else the interpreter.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    _CUTS.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts() -> None:
-    while _CUTS:
+def drop_cuts(since: int = 0) -> None:
+    """Remove the written tables, stream folders included, but for the first ``since`` that are still there."""
+    while len(_CUTS) > since:
         spark, path = _CUTS.pop()
         try:
             jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +72,16 @@ def drop_cuts() -> None:
             return
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Whatever is written inside is removed at the end: make a query *and* use its rows in one scope."""
+    before = len(_CUTS)
+    try:
+        yield
+    finally:
+        drop_cuts(before)
+
+
 atexit.register(drop_cuts)
 
 

@@ -5,7 +5,6 @@ The batch forms in quern.operators.events give the same answers over the whole l
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quern.runtime import shared_dir
+from quern.runtime import new_folder
 
 
 def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -79,7 +78,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     ``complete`` keeps the last batch; ``append`` and ``update`` keep the rows of all batches.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/quern/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     batches: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:

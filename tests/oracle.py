@@ -6,6 +6,8 @@ import os
 
 import duckdb
 
+from quern.runtime import scope
+
 
 def connect(sf):
     con = duckdb.connect()
@@ -29,8 +31,9 @@ def rows_of(columns, rows):
 
 
 def same(spark, con, query, sql, sf):
-    df = query(spark, sf)
-    got = rows_of(df.columns, df.collect())
+    with scope():
+        df = query(spark, sf)
+        got = rows_of(df.columns, df.collect())
     answer = con.execute(sql)
     names = [d[0] for d in answer.description]
     assert sorted(df.columns) == sorted(names)

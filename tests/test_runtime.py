@@ -1,9 +1,12 @@
+import os
+import subprocess
+import sys
 from itertools import accumulate
 
 import pytest
 
 from quern.operators.events import changed_only, step_delta
-from quern.runtime import hot_keys, previous, running_total
+from quern.runtime import cut, hot_keys, previous, running_total, scope, shared_dir
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -38,3 +41,47 @@ def test_rows_before_in_hot_and_cold_groups(spark, hot):
     assert change == {k for k in value if value[k] != value.get((k[0], k[1] - 1))}
     delta = {(r.g, r.i): (r.delta, r.from_start) for r in step_delta(df.na.fill(0), "g", ["i"], "v", hot).collect() if r.g}
     assert all(d == ((value[k] or 0) - (value[(k[0], k[1] - 1)] or 0) if k[1] else None, value[k] or 0) for k, d in delta.items())
+
+
+def test_scope_leaves_the_disk_empty(spark):
+    base = f"{shared_dir(spark).removeprefix('file://')}/quern"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    with scope():
+        assert cut(spark.range(5), "scoped").count() == 5
+        assert len(set(os.listdir(base)) - before) == 1
+    assert set(os.listdir(base)) == before
+
+
+UNSET = """
+import sys
+from pyspark.sql import SparkSession
+from quern.runtime import cut, shared_dir
+spark = SparkSession.builder.master(sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+try:
+    found = shared_dir(spark)
+    print("RESULT", found == shared_dir(spark), cut(spark.range(3), "x").count())
+except RuntimeError as error:
+    print("RESULT", error)
+"""
+
+
+def test_without_a_checkpoint_folder(tmp_path):
+    """A local session gets a folder of its own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", UNSET, "local[2]"], capture_output=True, text=True, timeout=120, cwd=root, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)})
+    assert "RESULT True 3" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_without_a_checkpoint_folder_is_an_error():
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        master = "spark://a:7077"
+        sparkContext = property(lambda self: self)
+        getConf = lambda self: self.conf
+        _jsc = property(lambda self: self)
+        sc = lambda self: self
+        getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster())
