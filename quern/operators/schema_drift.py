@@ -1,13 +1,15 @@
 """Schemas that drift between files: one report of every change, one consistent table.
 
 ``leaf_counts`` counts the fields of JSON lines by file and type. ``file_schemas`` keeps the fields that belong to
-each file. ``drift`` pairs each file with the one before it in its feed and matches the two schemas by similarity
+each file. ``proposals`` pairs each file with the one before it in its feed and matches the two schemas by similarity
 flooding: both become graphs of name, type and nesting, match scores spread over the pairwise connectivity graph
-until they settle, and the fields that are gone are matched one to one with the new ones, best score first, among
-the pairs that hold the same values. ``consistent`` follows the renames along each feed, casts and unions.
+until they settle, and every pair of a field that is gone and one that is new is proposed with its score.
+``confirmed`` keeps the proposals whose values agree, and ``drift`` chooses among these one to one, best scores
+first. ``consistent`` follows the renames along each feed, casts and unions.
 
-Only schemas, whose size is that of a line and not of the data, are brought together per file pair; values are
-compared by a join on (file pair, record key).
+Only fields that belong to a file are brought together per file pair; there are at most 1 / least_share times as
+many as a line has. Values meet in a join on (file pair, record key, value), so that a pair of fields costs as many
+rows as it has equal values, and only pairs with some are looked at again.
 """
 
 from __future__ import annotations
@@ -141,17 +143,21 @@ def file_schemas(counts: DataFrame, least_share: float = 0.2) -> DataFrame:
     """feed, file_seq, prev_seq, fields, prev_fields: the (path, type) pairs that belong to each file and the one before.
 
     A field belongs to a file if at least ``least_share`` of its lines that parse hold a value for it; its type is
-    that of most of these values, the first of TYPES in a tie. Files without any line that parses do not count.
+    that of most of these values, the first of TYPES in a tie. Files without any line that parses do not count. The
+    share is tested before the fields of a file are brought together, so keys that are data gather nowhere.
     """
     of_type = [F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0)).alias(f"_{t}") for t in TYPES]
-    per_path = counts.groupBy("feed", "file_seq", "path").agg(F.sum("n").alias("_n"), *of_type)
+    per_path = cut(counts.groupBy("feed", "file_seq", "path").agg(F.sum("n").alias("_n"), *of_type), "paths")
     most = F.greatest(*[F.col(f"_{t}") for t in TYPES])
     kind = F.coalesce(*[F.when(F.col(f"_{t}") == most, F.lit(t)) for t in TYPES])
-    packed = per_path.groupBy("feed", "file_seq").agg(F.max(F.when(F.col("path") == "", F.col("_n"))).alias("_lines"), F.collect_list(F.when(F.col("path") != "", F.struct("path", kind.alias("type"), "_n"))).alias("_all"))
-    kept = F.filter("_all", lambda x: x["_n"] >= F.col("_lines") * F.lit(least_share) - F.lit(1e-9))
-    fields = F.array_sort(F.transform(kept, lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"))))
+    files = per_path.where(F.col("path") == "").select(F.col("feed").alias("_feed"), F.col("file_seq").alias("_seq"), F.col("_n").alias("_lines"))
+    same_file = F.col("feed").eqNullSafe(F.col("_feed")) & (F.col("file_seq") == F.col("_seq"))
+    kept = per_path.where(F.col("path") != "").join(files, same_file).where(F.col("_n") >= F.col("_lines") * F.lit(least_share) - F.lit(1e-9))
+    packed = kept.groupBy("_feed", "_seq").agg(F.array_sort(F.collect_list(F.struct("path", kind.alias("type")))).alias("fields"))
+    none = F.array().cast("array<struct<path:string,type:string>>")
+    every = files.withColumnsRenamed({"_feed": "feed", "_seq": "file_seq"}).join(packed, same_file, "left").select("feed", "file_seq", F.coalesce("fields", none).alias("fields"))
     feed = Window.partitionBy("feed").orderBy("file_seq")
-    return packed.select("feed", "file_seq", fields.alias("fields")).withColumn("prev_seq", F.lag("file_seq").over(feed)).withColumn("prev_fields", F.lag("fields").over(feed))
+    return every.withColumn("prev_seq", F.lag("file_seq").over(feed)).withColumn("prev_fields", F.lag("fields").over(feed))
 
 
 # -- similarity flooding -------------------------------------------------------------------------------------
@@ -275,60 +281,90 @@ def correspond(pairs: dict[tuple[str, str], float]) -> dict[str, str]:
     return {old: new for new, old in taken.items()}
 
 
-def changes_between(old: list[tuple[str, str]], new: list[tuple[str, str]], same: set[tuple[str, str]], memo: dict | None = None) -> list[tuple[str, str, str]]:
-    """(change, field, new_field) from one schema to the next; same: the pairs of a gone and a new field whose values agree."""
+def proposals(schemas: DataFrame) -> DataFrame:
+    """feed, file_seq, prev_seq, old, new, score: flooding of each pair of files in which fields went and came.
+
+    schemas: the rows of ``file_schemas`` with a file before. The graphs are those of the whole schemas. All pairs of
+    a field that is gone and one that is new are proposed, so no correspondence is lost to a low score.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                old, new = ([(x["path"], x["type"]) for x in row[c]] for c in ("prev_fields", "fields"))
+                before, after = dict(old), dict(new)
+                gone, fresh = [p for p in before if p not in after], [p for p in after if p not in before]
+                if gone and fresh:
+                    scores = flood(old, new, memo=memo)
+                    out += [(row["feed"], row["file_seq"], row["prev_seq"], p, q, scores[p, q]) for p in gone for q in fresh]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["feed", "file_seq", "prev_seq", "old", "new", "score"])
+
+    # Schemas are few and flooding them is the work, so they are spread out first.
+    spread = schemas.where(F.col("fields") != F.col("prev_fields")).select("feed", "file_seq", "prev_seq", "prev_fields", "fields").repartition("feed", "file_seq")
+    return spread.mapInArrow(run, "feed string, file_seq int, prev_seq int, old string, new string, score double")
+
+
+def confirmed(lines: DataFrame, proposed: DataFrame, same_share: float = 0.8) -> DataFrame:
+    """feed, file_seq, old, new, score: the proposals whose values agree for ``same_share`` of the keys that have both."""
+    side = lambda seq, path: proposed.select("feed", F.col(seq).alias("file_seq"), F.col(path).alias("path"))
+    wanted = side("prev_seq", "old").unionByName(side("file_seq", "new")).groupBy("feed", "file_seq").agg(F.collect_set("path").alias("paths"))
+    of_key = held_values(lines, wanted).groupBy("feed", "file_seq", "path", "rec_key")
+    held = cut(of_key.agg(F.min_by("hash", F.struct("line_no", "hash")).alias("value")), "held")
+    pairs = proposed.select("feed", "file_seq", "prev_seq").distinct()
+    name = lambda df, of: df.select(*[F.col(c).alias(f"{of}_{c}") for c in ("feed", "file_seq", "path", "rec_key", "value")])
+    o, w = name(held, "o"), name(held, "n")
+    at_old = F.col("feed").eqNullSafe(F.col("o_feed")) & (F.col("prev_seq") == F.col("o_file_seq"))
+    at_new = F.col("feed").eqNullSafe(F.col("n_feed")) & (F.col("file_seq") == F.col("n_file_seq")) & (F.col("o_rec_key") == F.col("n_rec_key"))
+    keys = ["feed", "file_seq", "old", "new"]
+    # Fields are looked at as a pair only where a key has the same value in both; without any they can't agree.
+    equal = pairs.join(o, at_old).join(w, at_new & (F.col("o_value") == F.col("n_value"))).groupBy("feed", "file_seq", F.col("o_path").alias("old"), F.col("n_path").alias("new")).agg(F.count(F.lit(1)).alias("same"))
+    match = F.col("feed").eqNullSafe(F.col("_f")) & (F.col("file_seq") == F.col("_s")) & (F.col("old") == F.col("_o")) & (F.col("new") == F.col("_n"))
+    likely = cut(proposed.join(equal.withColumnsRenamed({"feed": "_f", "file_seq": "_s", "old": "_o", "new": "_n"}), match).select(*keys, "prev_seq", "score", "same"), "likely")
+    both = likely.join(o, at_old & (F.col("old") == F.col("o_path"))).join(w, at_new & (F.col("new") == F.col("n_path")))
+    counted = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("same").alias("same"), F.max("score").alias("score"))
+    return counted.where(F.col("same") >= F.col("n") * F.lit(same_share) - F.lit(1e-9)).select(*keys, "score")
+
+
+def changes_between(old: list[tuple[str, str]], new: list[tuple[str, str]], agreed: dict[tuple[str, str], float]) -> list[tuple[str, str, str]]:
+    """(change, field, new_field) from one schema to the next; agreed: the confirmed pairs with their flooded scores."""
     before, after = dict(old), dict(new)
     found = [("type_changed", p, "") for p, t in old if p in after and after[p] != t]
-    gone, fresh = [p for p in before if p not in after], [p for p in after if p not in before]
-    renamed: dict[str, str] = {}
-    if gone and fresh and same:
-        scores = flood(old, new, memo=memo)
-        renamed = correspond({pair: scores[pair] for pair in same if pair[0] in before and pair[1] in after})
-    found += [("renamed", p, renamed[p]) if p in renamed else ("removed", p, "") for p in gone]
-    return found + [("added", p, "") for p in fresh if p not in set(renamed.values())]
+    renamed = correspond(agreed)
+    found += [("renamed", p, renamed[p]) if p in renamed else ("removed", p, "") for p in before if p not in after]
+    return found + [("added", p, "") for p in after if p not in before and p not in set(renamed.values())]
 
 
 def drift(lines: DataFrame, least_share: float = 0.2, same_share: float = 0.8) -> DataFrame:
     """feed, file_seq, change, field, new_field: every change from one file of a feed to the next.
 
-    A field that is gone is ``renamed`` if a new field holds the values that it held in the file before, for at
-    least ``same_share`` of the record keys that have both; where several would do, the flooded scores decide. A
+    A field that is gone is ``renamed`` to a new field if flooding proposes the pair and the new field holds the
+    values that the old one held in the file before, for at least ``same_share`` of the record keys that have both.
+    Confirmed pairs are taken one to one by their flooded scores, so structure decides where values alone do not. A
     key with several lines in a file has the value of its first line that has one; null keys are not compared.
     Repeated lines count as lines. A null feed is a feed; lines without a file_seq belong to no file. An empty table
     gives no changes.
     """
     # The lines are parsed twice: for the schemas, and for the values of the fields that moved. Both are written once.
     schemas = cut(file_schemas(leaf_counts(lines), least_share), "schemas").where(F.col("prev_seq").isNotNull())
-    names = lambda c: F.transform(c, lambda x: x["path"])
-    gone, fresh = F.array_except(names("prev_fields"), names("fields")), F.array_except(names("fields"), names("prev_fields"))
-    moved = schemas.select("feed", "file_seq", "prev_seq", gone.alias("gone"), fresh.alias("fresh")).where((F.size("gone") > 0) & (F.size("fresh") > 0))
-    pairs = moved.withColumn("old", F.explode("gone")).withColumn("new", F.explode("fresh")).select("feed", "file_seq", "prev_seq", "old", "new")
-    side = lambda seq, path: pairs.select("feed", F.col(seq).alias("file_seq"), F.col(path).alias("path"))
-    wanted = side("prev_seq", "old").unionByName(side("file_seq", "new")).groupBy("feed", "file_seq").agg(F.collect_set("path").alias("paths"))
-    of_key = held_values(lines, wanted).groupBy(F.col("feed").alias("_feed"), F.col("file_seq").alias("_seq"), F.col("path").alias("_path"), "rec_key")
-    held = cut(of_key.agg(F.min_by("hash", F.struct("line_no", "hash")).alias("_value")), "held")
-    old = held.select(F.col("_feed").alias("_f1"), F.col("_seq").alias("_s1"), F.col("_path").alias("_p1"), F.col("rec_key").alias("_key"), F.col("_value").alias("_old"))
-    new = held.withColumnRenamed("_value", "_new")
-    before = pairs.join(old, F.col("feed").eqNullSafe(F.col("_f1")) & (F.col("prev_seq") == F.col("_s1")) & (F.col("old") == F.col("_p1")))
-    before = before.select("feed", "file_seq", "old", "new", "_key", "_old")
-    both = before.join(new, before["feed"].eqNullSafe(new["_feed"]) & (before["file_seq"] == new["_seq"]) & (before["new"] == new["_path"]) & (before["_key"] == new["rec_key"]))
-    agree = both.groupBy("feed", "file_seq", "old", "new").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_old") == F.col("_new")).cast("bigint")).alias("same"))
-    agree = agree.where(F.col("same") >= F.col("n") * F.lit(same_share) - F.lit(1e-9))
-    evidence = agree.groupBy(F.col("feed").alias("_feed"), F.col("file_seq").alias("_seq")).agg(F.collect_list(F.struct("old", "new")).alias("same"))
+    proposed = cut(proposals(schemas), "proposed")
+    evidence = confirmed(lines, proposed, same_share).groupBy(F.col("feed").alias("_feed"), F.col("file_seq").alias("_seq")).agg(F.collect_list(F.struct("old", "new", "score")).alias("agreed"))
     whole = schemas.join(evidence, schemas["feed"].eqNullSafe(evidence["_feed"]) & (schemas["file_seq"] == evidence["_seq"]), "left").where(F.col("fields") != F.col("prev_fields"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
                 old_fields, new_fields = ([(x["path"], x["type"]) for x in row[c]] for c in ("prev_fields", "fields"))
-                same = {(x["old"], x["new"]) for x in row["same"] or ()}
-                out += [(row["feed"], row["file_seq"], *x) for x in changes_between(old_fields, new_fields, same, memo)]
+                agreed = {(x["old"], x["new"]): x["score"] for x in row["agreed"] or ()}
+                out += [(row["feed"], row["file_seq"], *x) for x in changes_between(old_fields, new_fields, agreed)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], names=["feed", "file_seq", "change", "field", "new_field"])
 
-    return whole.select("feed", "file_seq", "prev_fields", "fields", "same").mapInArrow(run, CHANGES)
+    return whole.select("feed", "file_seq", "prev_fields", "fields", "agreed").mapInArrow(run, CHANGES)
 
 
 # -- one consistent table ------------------------------------------------------------------------------------
@@ -395,21 +431,23 @@ def column_names(paths: list[str], taken: set[str]) -> dict[str, str]:
     return out
 
 
-def consistent(lines: DataFrame, keep: list[str], most_columns: int = 1000, least_share: float = 0.2) -> DataFrame:
+def consistent(lines: DataFrame, keep: list[str], least_share: float = 0.2) -> DataFrame:
     """All lines that parse to an object in one table: the columns ``keep``, one column per field, and ``rest``.
 
-    A field that was renamed along a feed has one column under its first name. A column's type is that of most of
-    its values over all files. The ``most_columns`` fields with the most values get columns (the schema, which the
-    driver must hold, is bounded by that); the values of other fields, and values that cannot be cast, are kept as
-    JSON text in the map ``rest``, so nothing is lost.
+    A field that was renamed along a feed has one column under its first name. A field has a column if it belongs to
+    some file, under any of its names, whatever their number; a column's type is that of most of its values over all
+    files. Stray fields, and values that cannot be cast, are kept as JSON text in the map ``rest``, so nothing is lost.
     """
     names = cut(canonical_names(drift(lines, least_share), lines), "names")
     mapped = lines.join(names.withColumnsRenamed({"feed": "_feed", "file_seq": "_seq"}), lines["feed"].eqNullSafe(F.col("_feed")) & (lines["file_seq"] == F.col("_seq")), "left")
-    of_file = leaf_counts(lines).where(F.col("path") != "").groupBy("feed", "file_seq", "path", "type").agg(F.sum("n").alias("n"))
+    counts = cut(leaf_counts(lines).groupBy("feed", "file_seq", "path", "type").agg(F.sum("n").alias("n")), "counts")
+    size = counts.where(F.col("path") == "").select(F.col("feed").alias("_f"), F.col("file_seq").alias("_s"), F.col("n").alias("_lines"))
+    of_path = Window.partitionBy("feed", "file_seq", "path")  # at most one row per type
+    of_file = counts.where(F.col("path") != "").join(size, F.col("feed").eqNullSafe(F.col("_f")) & (F.col("file_seq") == F.col("_s"))).withColumn("belongs", F.sum("n").over(of_path) >= F.col("_lines") * F.lit(least_share) - F.lit(1e-9)).drop("_f", "_s")
     named = of_file.join(names.withColumnsRenamed({"feed": "_feed", "file_seq": "_seq"}), F.col("feed").eqNullSafe(F.col("_feed")) & (F.col("file_seq") == F.col("_seq")), "left")
-    totals = named.groupBy(F.coalesce(F.try_element_at("names", F.col("path")), F.col("path")).alias("path"), "type").agg(F.sum("n").alias("n"))
-    by_path = totals.groupBy("path").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"))
-    types = {r["path"]: r["type"] for r in by_path.orderBy(F.desc("n"), "path").limit(most_columns).collect()}
+    totals = named.groupBy(F.coalesce(F.try_element_at("names", F.col("path")), F.col("path")).alias("path"), "type").agg(F.sum("n").alias("n"), F.max("belongs").alias("belongs"))
+    by_path = totals.groupBy("path").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"), F.max("belongs").alias("belongs")).where("belongs")
+    types = {r["path"]: r["type"] for r in by_path.orderBy(F.desc("n"), "path").collect()}  # the schema of the result
     columns = column_names(list(types), {*keep, "rest"})
     spark_types = {"string": T.StringType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "array": T.ArrayType(T.StringType())}
     arrow_types = {"string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), "array": pa.list_(pa.string())}

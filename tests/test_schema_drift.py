@@ -1,5 +1,6 @@
 import json
 
+from quern.operators import schema_drift
 from quern.operators.schema_drift import cast_value, changes_between, column_names, consistent, correspond, drift, flood, leaves_of
 
 SCHEMA = "line_id bigint, feed string, file_seq int, line_no int, rec_key string, body string, path string"
@@ -54,12 +55,27 @@ def test_empty_table_and_single_file(spark):
 def test_ties_are_settled_by_the_flooded_scores():
     old = [("page.url", "string"), ("page.rev", "number"), ("lead", "string")]
     new = [("page.href", "string"), ("page.rev", "number"), ("content.lead", "string")]
-    same = {("page.url", "page.href"), ("page.url", "content.lead"), ("lead", "page.href"), ("lead", "content.lead")}
-    assert {x for x in changes_between(old, new, same) if x[0] == "renamed"} == {("renamed", "page.url", "page.href"), ("renamed", "lead", "content.lead")}
     scores = flood(old, new)
+    same = {(p, q): scores[p, q] for p in ("page.url", "lead") for q in ("page.href", "content.lead")}
+    assert {x for x in changes_between(old, new, same) if x[0] == "renamed"} == {("renamed", "page.url", "page.href"), ("renamed", "lead", "content.lead")}
     assert scores[("page.url", "page.href")] > scores[("lead", "page.href")]
 
 
+def test_flooding_proposes_where_values_do_not_decide(spark, monkeypatch):
+    """Both lost fields and both new ones hold the same values: only the schema graphs tell which became which."""
+    a = [{"page": {"url": f"v{i}", "rev": i}, "lead": f"v{i}"} for i in range(5)]
+    b = [{"page": {"href": f"v{i}", "rev": i}, "content": {"lead": f"v{i}"}} for i in range(5)]
+    files = [("f", 1, a), ("f", 2, b)]
+    assert found(spark, files) == [("f", 2, "renamed", "lead", "content.lead"), ("f", 2, "renamed", "page.url", "page.href")]
+    monkeypatch.setattr(schema_drift, "flood", lambda old, new, **_: {(p, q): 0.0 for p, _ in old for q, _ in new})
+    assert found(spark, files) != [("f", 2, "renamed", "lead", "content.lead"), ("f", 2, "renamed", "page.url", "page.href")]
+
+
+def test_keys_that_are_data_belong_to_no_file(spark):
+    a = [{"x": i, "by_id": {f"id{i}_{k}": 1 for k in range(50)}} for i in range(20)]
+    assert found(spark, [("f", 1, a), ("f", 2, [{"y": i} for i in range(20)])]) == [("f", 2, "renamed", "x", "y")]
+
+
 def test_correspondence_is_one_to_one_and_as_large_as_possible():
     assert correspond({("a", "x"): 0.9, ("a", "y"): 0.5, ("b", "x"): 0.1}) == {"a": "y", "b": "x"}
 
