@@ -4,7 +4,9 @@ Every document of a source stands in a shuffled queue. Its virtual finish time i
 up to and with it, divided by the source's weight; a source that is used again goes on counting. Taken in the order
 of the finish times, all sources have their share of the tokens at any point, so the mix is that order, sorted
 globally by ranges and cut off at the total budget. The running token counts come from range partitions, so no
-source, however large, meets in one task.
+source, however large, meets in one task. Before the sort only those uses are left out that can't be within the
+budget: every source is at most its largest document behind its share, so the budget is full once the budget and the
+largest documents of all sources would be.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ def finish_line(available: dict[str, int], share: dict[str, float], repeats: dic
 
 
 class Mix:
-    """A mix of sized documents (id, source, n_tokens, slot) to the targets (source, target_share, max_repeats).
+    """A mix of sized documents (id, source, n_tokens, slot, row) to the targets (source, target_share, max_repeats).
 
-    slot: a number per row that is fixed with the table. Shares are divided by their sum. Sources without a target,
+    slot: a hash of the row; row: a number that is unique and fixed with the table. Shares are divided by their sum. Sources without a target,
     with a null or zero share or without tokens give nothing; documents without tokens are left out, as they have
     no place in a queue of tokens. Null ids and repeated rows are documents like any other. targets is a small
     table of the user's, one row per source, of which the driver holds up to ``most_sources``; a repeated source
@@ -65,26 +67,39 @@ class Mix:
         spark = sized.sparkSession
         schema = "key string, name string, share double, repeats int"
         self.targets = spark.createDataFrame([(k, self.names[k], self.share[k], self.repeats[k]) for k in first], schema)
-        keyed = sized.select("id", source_key(F.col("source")).alias("key"), F.col("n_tokens").cast("bigint").alias("n_tokens"), "slot").where(F.col("n_tokens") > 0)
+        keyed = sized.select("id", source_key(F.col("source")).alias("key"), F.col("n_tokens").cast("bigint").alias("n_tokens"), "slot", "row").where(F.col("n_tokens") > 0)
         wanted = keyed.join(F.broadcast(self.targets), "key", "left_semi") if first else keyed.where(F.lit(False))
-        self.queued = cut(running_total(wanted.withColumn("turn", F.xxhash64("slot", F.lit(seed))), ["key"], ["turn", "slot"], "n_tokens", "upto"), "queued")
-        totals = self.queued.groupBy("key").agg(F.sum("n_tokens").alias("t")).collect()
+        self.queued = cut(running_total(wanted.withColumn("turn", F.xxhash64("slot", F.lit(seed))), ["key"], ["turn", "row"], "n_tokens", "upto"), "queued")
+        totals = self.queued.groupBy("key").agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("largest")).collect()
         self.available = {r["key"]: int(r["t"]) for r in totals}
-        self.line, self.budget = finish_line(self.available, self.share, self.repeats, budget)
+        _, self.budget = finish_line(self.available, self.share, self.repeats, budget)
+        self.line, _ = finish_line(self.available, self.share, self.repeats, self.budget + sum(int(r["largest"]) for r in totals))
 
     def selection(self) -> DataFrame:
         """id, source, use (0 for the first), n_tokens, finish, upto: the mix, to be read in the order of ``finish``.
 
-        upto: tokens of the mix up to and with this document. A finish time after the finish line can't be within
-        the budget, so those are left out before the sort.
+        upto: tokens of the mix up to and with this document. The first document that would cross the budget ends the
+        mix, so the budget is filled but for less than one document, unless the documents run out.
         """
+        return self._ordered().where(F.col("upto") <= self.budget)
+
+    def _ordered(self) -> DataFrame:
         limits = self.targets.join(self._totals(), "key")
         joined = self.queued.join(F.broadcast(limits), "key")
-        uses = joined.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-        timed = uses.withColumn("finish", (F.col("use") * F.col("t") + F.col("upto")) / F.col("share")).where(F.col("finish") <= self.line * (1 + 1e-12))
-        slim = timed.select("id", F.col("name").alias("source"), "use", "n_tokens", "finish", "slot")
-        ordered = running_total(slim, [], ["finish", "source", "slot", "use"], "n_tokens", "upto")
-        return ordered.where(F.col("upto") <= self.budget).drop("slot")
+        # Use number u ends at (u * t + upto) / share; only uses that end by the line are made.
+        last = F.floor((self.line * (1 + 1e-9) * F.col("share") - F.col("upto")) / F.col("t"))
+        n = F.least(F.col("repeats"), last.cast("int") + 1)
+        uses = joined.where(n > 0).withColumn("use", F.explode(F.sequence(F.lit(0), n - 1)))
+        timed = uses.withColumn("finish", (F.col("use") * F.col("t") + F.col("upto")) / F.col("share"))
+        slim = timed.select("id", F.col("name").alias("source"), "use", "n_tokens", "finish", "row")
+        return running_total(slim, [], ["finish", "source", "row", "use"], "n_tokens", "upto").drop("row")
+
+    def filled(self) -> DataFrame:
+        """budget, tokens, unfilled, crossing: one row; crossing is the size of the document that the budget cut off."""
+        ordered = self._ordered()
+        inside = F.col("upto") <= self.budget
+        got = ordered.agg(F.coalesce(F.max(F.when(inside, F.col("upto"))), F.lit(0)).alias("tokens"), F.min_by(F.when(~inside, F.col("n_tokens")), F.when(~inside, F.col("upto"))).alias("crossing"))
+        return got.select(F.lit(self.budget).cast("bigint").alias("budget"), "tokens", (F.lit(self.budget) - F.col("tokens")).alias("unfilled"), "crossing")
 
     def _totals(self) -> DataFrame:
         spark = self.queued.sparkSession

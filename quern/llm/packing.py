@@ -53,7 +53,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 def pieces(sized: DataFrame, capacities: DataFrame, most_packs: int = 1000) -> DataFrame:
     """One row per piece and capacity: an item above the capacity is split into whole containers and a rest.
 
-    sized: id, n_tokens, slot. capacities: pack_name, capacity_tokens, a small table of the user's of at most
+    sized: id, n_tokens, slot, row. capacities: pack_name, capacity_tokens, a small table of the user's of at most
     ``most_packs`` rows. Items of no tokens stay items, as they take no room. A capacity that is null or below 1 is
     left out, and no capacity at all gives no pieces.
     """
@@ -63,7 +63,7 @@ def pieces(sized: DataFrame, capacities: DataFrame, most_packs: int = 1000) -> D
         raise ValueError(f"more than {most_packs} capacities")
     kind = "array<struct<pack_name:string,capacity:bigint>>"
     packs = F.array(*[F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).alias("capacity")) for r in rows]).cast(kind)
-    both = sized.withColumn("_pack", F.explode(packs)).select("id", "slot", "n_tokens", "_pack.*")
+    both = sized.withColumn("_pack", F.explode(packs)).select("id", "slot", "row", "n_tokens", "_pack.*")
     n = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
     cut_up = both.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     start = F.col("piece") * F.col("capacity")
@@ -73,20 +73,20 @@ def pieces(sized: DataFrame, capacities: DataFrame, most_packs: int = 1000) -> D
 def pack(sized: DataFrame, capacities: DataFrame, group_items: int = 20_000, total: int | None = None) -> DataFrame:
     """pack_name, container, id, piece, start_token, tokens, capacity: what is in each container.
 
-    sized: id, n_tokens and slot, a random non-negative bigint per row that is fixed with the table (so that a
-    task that runs again deals alike). A container's name is its group's number and its own. A null size counts
+    sized: id, n_tokens, slot (a hash of the row, by which it is dealt, whatever the files or the cluster) and row (a
+    number that is unique and fixed with the table). A container's name is its group's number and its own. A null size counts
     as 0. Null and repeated ids are packed as any other. An empty table fills no container.
     """
     total = sized.count() if total is None else total
     groups = max(1, -(-total // group_items))
-    items = sized.select("id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), "slot")
+    items = sized.select("id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), "slot", "row")
     dealt = pieces(items, capacities).withColumn("bin_group", F.pmod(F.xxhash64("slot", "piece"), F.lit(groups)))
     # A piece that fills its container needs no search.
-    full = dealt.where(F.col("tokens") == F.col("capacity")).select("pack_name", F.concat_ws("-", F.lit("full"), "slot", "piece").alias("container"), "id", "piece", "start_token", "tokens", "capacity")
-    open_ = dealt.where(F.col("tokens") < F.col("capacity")).select("pack_name", "bin_group", "capacity", "id", "slot", "piece", "start_token", "tokens")
+    full = dealt.where(F.col("tokens") == F.col("capacity")).select("pack_name", F.concat_ws("-", F.lit("full"), "row", "piece").alias("container"), "id", "piece", "start_token", "tokens", "capacity")
+    open_ = dealt.where(F.col("tokens") < F.col("capacity")).select("pack_name", "bin_group", "capacity", "id", "slot", "row", "piece", "start_token", "tokens")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["slot", "piece"], kind="stable")
+        group = group.sort_values(["slot", "row", "piece"], kind="stable")
         places = first_fit_decreasing(group["tokens"].tolist(), int(group["capacity"].iloc[0]))
         return group.assign(container=[f"{g}-{p}" for g, p in zip(group["bin_group"], places, strict=True)])[["pack_name", "container", "id", "piece", "start_token", "tokens", "capacity"]]
 

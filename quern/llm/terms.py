@@ -6,7 +6,7 @@
    the numbers come from the sizes of the ranges, not from a sort in one task.
 3. ``count_arrays``: the blocks are encoded with the dictionary and cut into identifier ranges; each block has, per
    range, arrays of identifiers, occurrences and row counts.
-4. ``sum_ranges``: the arrays of each range are added up in one dense array of ``range_size`` numbers.
+4. ``sum_ranges``: the arrays of each range are added up in dense arrays of ``range_size`` numbers, in two levels.
 
 A null term does not count; a repeated row counts again; an empty table gives an empty result. Terms are compared as
 they come in, so they should be in normal form. Memory is bounded by ``range_size`` and ``most_local`` terms.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quern.runtime import cut
 
 BLOCKS = "block bigint, field string, term string, occurrences bigint, n_rows bigint"
-RANGES = "range bigint, term_id bigint, occurrences bigint, n_rows bigint"
+SUMS = "range bigint, salt bigint, ids array<bigint>, occurrences array<bigint>, n_rows array<bigint>"
 
 
 def block_counts(rows: DataFrame, fields: list[str], most_local: int = 500_000) -> DataFrame:
@@ -95,31 +95,46 @@ def count_arrays(blocks: DataFrame, terms: DataFrame, range_size: int) -> DataFr
     return packed.select("block", "range", F.col("_e.term_id").alias("ids"), F.col("_e.occurrences").alias("occurrences"), F.col("_e.n_rows").alias("n_rows"))
 
 
-def sum_ranges(arrays: DataFrame, range_size: int) -> DataFrame:
-    """term_id, occurrences, n_rows over all blocks; the arrays of a range meet in one task, as a stream."""
+def sum_ranges(arrays: DataFrame, range_size: int, salts: int = 16) -> DataFrame:
+    """term_id, occurrences, n_rows over all blocks, in two levels.
+
+    First the arrays of a range from every ``salts``-th block are added up, as a stream into one dense array; then the
+    sums of a range, at most ``salts`` of them whatever the number of blocks, are added up likewise.
+    """
+    salted = arrays.withColumn("salt", F.pmod("block", F.lit(salts)))
+    first = salted.repartition("range", "salt").sortWithinPartitions("range", "salt").mapInArrow(_adder(range_size, ["range", "salt"]), SUMS)
+    second = first.repartition("range").sortWithinPartitions("range").mapInArrow(_adder(range_size, ["range"]), SUMS)
+    entries = F.arrays_zip("ids", "occurrences", "n_rows")
+    return second.select(F.explode(entries).alias("e")).select(F.col("e.ids").alias("term_id"), "e.occurrences", "e.n_rows")
+
+
+def _adder(range_size: int, keys: list[str]):
+    """Adds up the arrays of consecutive rows with equal ``keys`` and gives one row of arrays for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums = None, np.zeros((2, range_size), dtype=np.int64)
 
         def flush() -> pa.RecordBatch:
             ids = np.flatnonzero(sums[0])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), at), pa.int64()), pa.array(ids + at * range_size, pa.int64()), pa.array(sums[0][ids]), pa.array(sums[1][ids])], names=["range", "term_id", "occurrences", "n_rows"])
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids + at[0] * range_size, sums[0][ids], sums[1][ids])]
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[-1]], pa.int64()), *lists], names=["range", "salt", "ids", "occurrences", "n_rows"])
 
         for batch in batches:
-            ranges = batch.column("range").to_pylist()
-            for i, k in enumerate(ranges):
+            marks = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            columns = [batch.column(c) for c in ("ids", "occurrences", "n_rows")]
+            for i, k in enumerate(marks):
                 if k != at:
                     if at is not None:
                         yield flush()
                     at = k
                     sums[:] = 0
-                ids = batch.column("ids")[i].values.to_numpy() - k * range_size
-                np.add.at(sums[0], ids, batch.column("occurrences")[i].values.to_numpy())
-                np.add.at(sums[1], ids, batch.column("n_rows")[i].values.to_numpy())
+                ids, occurrences, present = (c[i].values.to_numpy() for c in columns)
+                np.add.at(sums[0], ids - k[0] * range_size, occurrences)
+                np.add.at(sums[1], ids - k[0] * range_size, present)
         if at is not None:
             yield flush()
 
-    return arrays.repartition("range").sortWithinPartitions("range").mapInArrow(run, RANGES).drop("range")
+    return run
 
 
 def term_frequencies(rows: DataFrame, fields: list[str], range_size: int = 4096) -> DataFrame:

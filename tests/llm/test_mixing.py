@@ -12,7 +12,7 @@ def sized(spark):
     rows = [(i, random.choice(["big_one", "Big One", " BIG-ONE"]), random.randint(1, 40)) for i in range(2000)]
     rows += [(5000 + i, "small", random.randint(1, 40)) for i in range(300)] + [(7000 + i, "TINY", random.randint(1, 40)) for i in range(100)]
     rows += [(9000, "untargeted", 50), (9001, None, 50), (9002, "small", 0), (9003, "small", None), (None, "small", 5)]
-    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "id bigint, source string, n_tokens bigint, slot bigint").repartition(3)
+    return spark.createDataFrame([(*r, i * 7919 % 2503, i) for i, r in enumerate(rows)], "id bigint, source string, n_tokens bigint, slot bigint, row bigint").repartition(3)
 
 
 def targets(spark, rows=TARGETS):
@@ -24,7 +24,9 @@ def test_shares_repeats_and_budget(spark, budget):
     mix = Mix(sized(spark), targets(spark), budget)
     rows = mix.selection().collect()
     total = sum(r.n_tokens for r in rows)
-    assert total <= mix.budget and (budget is None or mix.budget == budget)
+    assert mix.budget - 40 < total <= mix.budget and (budget is None or mix.budget == budget)
+    filled = mix.filled().first()
+    assert (filled.tokens, filled.unfilled) == (total, mix.budget - total) and (filled.crossing is None or filled.crossing > filled.unfilled)
     share = {s: sum(r.n_tokens for r in rows if r.source == s) / total for s in ("big_one", "small", "tiny")}
     whole = 0.5 + 0.3 + 0.2
     assert all(abs(share[s] - w / whole) < 0.03 for s, w in (("big_one", 0.5), ("small", 0.3), ("tiny", 0.2)))
@@ -48,6 +50,18 @@ def test_a_larger_budget_uses_up_the_scarce_sources(spark):
         assert sum(r.n_tokens for r in rows if r.source == s) == most * mix.available[s.replace("_", "")]
 
 
+def test_many_repeats_are_not_made_before_they_are_needed(spark):
+    """A cap of a billion uses costs no more rows than the budget has room for."""
+    rows = spark.createDataFrame([(1, "a", 10, 1, 1), (2, "b", 10, 2, 2)], "id bigint, source string, n_tokens bigint, slot bigint, row bigint")
+    mix = Mix(rows, targets(spark, [("a", 0.5, 10**9), ("b", 0.5, 1)]), 100)
+    assert sorted((r.source, r.use) for r in mix.selection().collect()) == [("a", u) for u in range(9)] + [("b", 0)]
+
+
+def test_the_shuffle_does_not_depend_on_files(spark):
+    a, b = sized(spark), sized(spark).coalesce(1)
+    assert sorted((r.source, r.id or 0, r.use) for r in Mix(a, targets(spark), 3000).selection().collect()) == sorted((r.source, r.id or 0, r.use) for r in Mix(b, targets(spark), 3000).selection().collect())
+
+
 def test_finish_line():
     assert finish_line({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, None) == (40.0, 40)
     assert finish_line({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, 60) == (80.0, 60)

@@ -1,6 +1,7 @@
 import pytest
 
 from quern.llm.queries import ORACLE, QUERIES
+from quern.runtime import scope
 from tests.oracle import connect, same
 
 
@@ -14,4 +15,5 @@ def test_query_against_sql(spark, sf, con, name):
     if name in ORACLE:
         same(spark, con, QUERIES[name], ORACLE[name], sf)
     else:
-        assert QUERIES[name](spark, sf).count() >= 0
+        with scope():  # their rules are queries with SQL of their own, p6_invariants and p7_invariants, or tests of the operator
+            assert QUERIES[name](spark, sf).count() > 0

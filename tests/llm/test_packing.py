@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quern.llm.packing import fill, first_fit_decreasing, pack
 from quern.llm.sizes import TOKENIZERS, VOCABULARY, with_tokens
 
@@ -34,7 +36,7 @@ def test_too_large_an_item_is_an_error():
 def test_whole_texts_in_containers(spark):
     random.seed(3)
     rows = [(i, random.choice([0, 3, 64, 65, 200, None, random.randint(1, 90)]), i) for i in range(300)] + [(None, 7, 900), (5, 9, 901)]
-    sized = spark.createDataFrame(rows, "id bigint, n_tokens bigint, slot bigint")
+    sized = spark.createDataFrame(rows, "id bigint, n_tokens bigint, slot bigint").withColumn("row", F.col("slot"))
     packs = spark.createDataFrame([("s", 64), ("l", 150), ("bad", 0), ("none", None)], "pack_name string, capacity_tokens int")
     got = pack(sized, packs, group_items=100).collect()
     for name, capacity in (("s", 64), ("l", 150)):
@@ -52,10 +54,19 @@ def test_whole_texts_in_containers(spark):
     assert set(report) == {"s", "l"} and all(r.containers <= 1.25 * r.least_containers + 1 for r in report.values())
 
 
+def test_rows_that_are_the_same_have_containers_of_their_own(spark):
+    rows = spark.createDataFrame([(1, 64, 5, k) for k in range(4)] + [(1, 10, 6, 9), (1, 10, 6, 10)], "id bigint, n_tokens bigint, slot bigint, row bigint")
+    packs = spark.createDataFrame([("s", 32)], "pack_name string, capacity_tokens int")
+    sums = {}
+    for r in pack(rows, packs).collect():
+        sums[r.container] = sums.get(r.container, 0) + r.tokens
+    assert sorted(sums.values()) == [20] + [32] * 8
+
+
 def test_empty_table(spark):
     packs = spark.createDataFrame([("s", 64)], "pack_name string, capacity_tokens int")
-    assert pack(spark.createDataFrame([], "id bigint, n_tokens bigint, slot bigint"), packs).count() == 0
-    some = spark.createDataFrame([(1, 5, 1, "clash")], "id bigint, n_tokens bigint, slot bigint, capacity string")
+    assert pack(spark.createDataFrame([], "id bigint, n_tokens bigint, slot bigint, row bigint"), packs).count() == 0
+    some = spark.createDataFrame([(1, 5, 1, 1, "clash")], "id bigint, n_tokens bigint, slot bigint, row bigint, capacity string")
     assert pack(some, packs.where("false")).count() == 0 and pack(some, packs).count() == 1
 
 

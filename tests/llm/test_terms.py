@@ -34,6 +34,12 @@ def test_blocks_that_start_anew_add_up(spark):
     assert sums == Counter({k: v[1] for k, v in brute(ROWS * 5).items()})
 
 
+def test_many_blocks_of_one_range(spark):
+    rows = spark.createDataFrame(ROWS * 20, SCHEMA).repartition(70)
+    got = term_frequencies(rows, ["cats", "tmps"], range_size=3).collect()
+    assert {(r.field, r.term): (r.occurrences, r.n_rows) for r in got} == brute(ROWS * 20)
+
+
 def test_marks_and_empty_table(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     marks = {(r.field, r.term): r.mark for r in with_mark(term_frequencies(rows, ["cats", "tmps"]), len(ROWS)).collect()}
