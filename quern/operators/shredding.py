@@ -50,12 +50,10 @@ class Group:
 
 def siblings(value: Any) -> list:
     """The entries of a list however it is written."""
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # JSON in JSON, however often; each round is shorter by its quotes
         try:
             value = json.loads(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
     if isinstance(value, (list, tuple)):
         return list(value)
@@ -171,7 +169,7 @@ def shred(records: DataFrame, record_id: str, groups: tuple[Group, ...], leaves:
                         if c in jsons and value is not None:
                             try:
                                 value = json.loads(value)
-                            except ValueError:
+                            except (ValueError, RecursionError):
                                 value = None
                         parsed[c] = value
                     for g in needed:
@@ -204,12 +202,14 @@ def assemble(shredded: DataFrame, tables: dict[str, str], attributes: dict[str,
     """Flat child tables from the level sequences; tables: child's name to the dotted path of its repeated group.
 
     Out come record_id, child, parent_ord (-1 in the record itself), child_ord, and, with ``attributes``, a map of
-    the named leaves that have a value (nulls are left out) for each child table.
+    the named leaves that have a value for each child table, and ``nulls``, the names of those whose key is there
+    with null. A leaf that is in neither was absent.
     """
     id_field = shredded.schema["record_id"]
     fields = [id_field, T.StructField("child", T.StringType()), T.StructField("parent_ord", T.IntegerType()), T.StructField("child_ord", T.IntegerType())]
     if attributes is not None:
         fields.append(T.StructField("attributes", T.MapType(T.StringType(), T.StringType())))
+        fields.append(T.StructField("nulls", T.ArrayType(T.StringType())))
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +228,16 @@ def assemble(shredded: DataFrame, tables: dict[str, str], attributes: dict[str,
                 record = np.repeat(np.arange(batch.num_rows), np.diff(chunk[0].offsets.to_numpy()))[at]
                 cols = [batch.column("record_id").take(pa.array(record)), pa.array([child] * len(at), pa.string()), pa.array(parent[at], pa.int32()), pa.array(own[at], pa.int32())]
                 if attributes is not None:
-                    keys, values, n = [], [], np.zeros(len(at), dtype=np.int64)
-                    leaves = {x: batch.column(f"{base}__{x}").flatten()[2].flatten().take(pa.array(at)).to_pylist() for x in attributes.get(child, ())}
-                    for i in range(len(at)):
-                        for x, v in leaves.items():
-                            if v[i] is not None:
-                                keys.append(x)
-                                values.append(v[i])
-                                n[i] += 1
-                    cols.append(pa.MapArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())))
+                    names = attributes.get(child, ())
+                    chunks = {x: batch.column(f"{base}__{x}").flatten() for x in names}
+                    # Row by leaf: the name where the definition level says that there is a value, or a null.
+                    levels = np.array([c[1].flatten().to_numpy(zero_copy_only=False)[at] for c in chunks.values()]).reshape(len(names), len(at)).T
+                    values = np.array([c[2].flatten().take(pa.array(at)).to_numpy(zero_copy_only=False) for c in chunks.values()], dtype=object).reshape(len(names), len(at)).T
+                    labels = np.broadcast_to(np.array(names, dtype=object), levels.shape)
+                    ends = lambda there: pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32())
+                    valued, null = levels == 2 * depth + 2, levels == 2 * depth + 1
+                    cols.append(pa.MapArray.from_arrays(ends(valued), pa.array(labels[valued], pa.string()), pa.array(values[valued], pa.string())))
+                    cols.append(pa.ListArray.from_arrays(ends(null), pa.array(labels[null], pa.string())))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return shredded.mapInArrow(run, schema)

@@ -40,28 +40,38 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return assemble(shred(_records(spark, sf), "record_id", GROUPS, leaves), CHILDREN)
 
 
-def _flat(spark: SparkSession, sf: str, child: str, columns: dict[str, str]) -> DataFrame:
-    path = CHILDREN[child]
-    leaves = [f"{path}.{x}" for x in (*columns, REST)]
-    made = assemble(shred(_records(spark, sf), "record_id", GROUPS, leaves), {child: path}, {child: (*columns, REST)})
-    typed = [F.expr(f"try_cast(attributes['{k}'] AS {kind})").alias(k) for k, kind in columns.items()]
-    return made.select("record_id", "parent_ord", "child_ord", *typed, F.col("attributes")[REST].alias("rest"))
+#: The typed columns of each child table; lists and objects are JSON text.
+COLUMNS = {
+    "variant": {"index": "int", "label": "string", "name": "string", "release": "string", "id": "bigint", "examine": "string", "quest": "string"},
+    "variant_map": {"field": "string", "x": "int", "y": "int", "plane": "int", "radius": "int", "name": "string"},
+    "recipe": {"ticks": "int", "members": "boolean"},
+    "recipe_skill": {"name": "string", "level": "double", "xp": "double", "boostable": "boolean"},
+    "recipe_material": {"item": "string", "quantity": "double", "cost": "string"},
+    "recipe_output": {"item": "string", "quantity": "double", "cost": "string"},
+    "fact_id": {"field": "string", "value": "bigint", "raw": "string"},
+    "fact_map": {"field": "string", "x": "int", "y": "int", "plane": "int", "radius": "int", "name": "string"},
+}
+NAMES = {"category": "categories", "hidden_category": "hidden_categories"}
 
 
-def p3_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf, "variant", {"index": "int", "label": "string", "name": "string", "release": "string", "id": "bigint", "examine": "string", "quest": "string"})
+def _flat(child: str):
+    """The flat table of one child: its place, its typed columns, the names of its null keys, and all else as JSON."""
 
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path, columns = CHILDREN[child], COLUMNS.get(child, {})
+        leaves = [f"{path}.{x}" for x in (*columns, REST)]
+        made = assemble(shred(_records(spark, sf), "record_id", GROUPS, leaves), {child: path}, {child: (*columns, REST)})
+        if child in NAMES:
+            return made.select("record_id", "child_ord", F.col("attributes")[REST].alias("name"))
+        typed = [F.expr(f"try_cast(attributes['{k}'] AS {kind})").alias(k) for k, kind in columns.items()]
+        nulls = F.array_join(F.array_remove("nulls", REST), ",")
+        return made.select("record_id", "parent_ord", "child_ord", *typed, nulls.alias("nulls"), F.col("attributes")[REST].alias("rest"))
 
-def p3_variant_maps(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf, "variant_map", {"field": "string", "x": "int", "y": "int", "plane": "int", "radius": "int", "name": "string"})
+    return query
 
 
-def p3_recipe_materials(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf, "recipe_material", {"item": "string", "quantity": "double", "cost": "string"})
-
-
-def p3_recipe_skills(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf, "recipe_skill", {"name": "string", "level": "double", "xp": "double", "boostable": "boolean"})
+def _plural(child: str) -> str:
+    return f"p3_{child[:-1]}ies" if child.endswith("y") else f"p3_{child}s"
 
 
 def p3_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +82,8 @@ def p3_levels(spark: SparkSession, sf: str) -> DataFrame:
     return flat.groupBy("path", F.col("definition_level").cast("int").alias("definition_level")).agg(F.count(F.lit(1)).alias("triples"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_variants": p3_variants, "p3_variant_maps": p3_variant_maps, "p3_recipe_materials": p3_recipe_materials, "p3_recipe_skills": p3_recipe_skills, "p3_levels": p3_levels}
+QUERIES = {"p3_found": p3_found, **{_plural(child): _flat(child) for child in CHILDREN}, "p3_levels": p3_levels}
+
 
 def _json(j: str) -> str:
     """SQL: a JSON value that may itself be written as a string."""
@@ -124,3 +135,21 @@ ORACLE: dict[str, str] = {
         _names("category", "categories"), _names("hidden_category", "hidden_categories"),
     ]),
 }
+
+
+def _values(child: str) -> str:
+    """SQL for the flat table of one child."""
+    source, key = {"variant": ("variants", ""), "variant_map": ("variants", "maps"), "recipe": ("recipes", ""), "recipe_skill": ("recipes", "skills"), "recipe_material": ("recipes", "materials"), "recipe_output": ("recipes", "outputs"), "fact_id": ("ids", ""), "fact_map": ("maps", "")}[child]
+    rows = _level(f"({_SUB.format(source)})", "record_id, parent", f"json_extract(e, '$.{key}')") if key else f"SELECT record_id, -1 AS parent, e, ord FROM {source}"
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    columns, group = COLUMNS[child], CHILDREN[child]
+    typed = ", ".join(f"TRY_CAST(json_extract_string(e, '$.{k}') AS {kinds[t]}) AS \"{k}\"" for k, t in columns.items())
+    lists = {"variants": ["maps"], "recipes": ["skills", "materials", "outputs"]}.get(group, [])
+    nulls = f"array_to_string(list_filter({list(columns)}, lambda k: json_type(e, '$.' || k) = 'NULL'), ',')"
+    kept = f"list_filter(json_keys(e), lambda k: NOT list_contains({[*columns, *lists]}, k))"
+    rest = f"CASE WHEN len({kept}) > 0 THEN '{{' || array_to_string(list_transform({kept}, lambda k: to_json(k)::VARCHAR || ':' || CAST(json_extract(e, '$.\"' || k || '\"') AS VARCHAR)), ',') || '}}' END"
+    return f"{_CTES} SELECT record_id, parent AS parent_ord, ord AS child_ord, {typed}, {nulls} AS nulls, {rest} AS rest FROM ({rows}) WHERE {_FULL}"
+
+
+ORACLE |= {_plural(child): _values(child) for child in COLUMNS}
+ORACLE |= {_plural(child): f"SELECT record_id, child_ord, name FROM (SELECT record_id, CAST(ord - 1 AS INTEGER) AS child_ord, e AS name FROM (SELECT record_id, unnest(taxonomy.{c}) AS e, generate_subscripts(taxonomy.{c}, 1) AS ord FROM structured_records)) WHERE trim(name) <> ''" for child, c in NAMES.items()}
