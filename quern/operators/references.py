@@ -7,6 +7,10 @@ referred-to table on its own non-null columns, under a declared match semantics:
 * ``partial``: the non-null columns must match; a reference whose columns are all null refers to nothing;
 * ``full``: all columns null refers to nothing; some but not all null is always an orphan.
 
+The mask is a column of the join key: a reference has the one of its nulls, and a target row stands once under each
+mask that can occur, with its other columns blanked. So all masks take one join, and each table is read the same few
+times however many key columns there are.
+
 With ``at`` and ``valid``, a target row counts only if ``valid[0] <= at`` and ``valid[1]`` is null or ``> at``. A
 reference with a null time is matched on its key alone; a target without a start was always there.
 
@@ -17,7 +21,6 @@ key are repeated once per salt. No side is broadcast but the hot keys, of which
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,6 @@ def orphan_references(
     match: str = "simple",
     at: str | None = None,
     valid: tuple[str, str] | None = None,
-    total: int | None = None,
     max_hot: int = 2000,
     min_hot_rows: int = 1000,
     rows_per_salt: int = 100_000,
@@ -42,56 +44,48 @@ def orphan_references(
     """The rows of ``refs`` that refer to no row of ``targets``; key: pairs (column of refs, column of targets).
 
     Repeated references are all kept, as are all columns of ``refs``, whatever the columns of ``targets`` are
-    called. Empty tables: no references give no orphans; without targets every reference is an orphan. ``total``
-    is the number of references if it is known; else it is counted.
+    called. Empty tables: no references give no orphans; without targets every reference is an orphan.
     """
     if match not in SEMANTICS:
         raise ValueError(f"match must be one of {SEMANTICS}")
     if (at is None) != (valid is None):
         raise ValueError("at and valid go together")
-    total = refs.count() if total is None else total
-    wanted = [F.col(f"`{t}`").alias(f"_t{i}") for i, (_, t) in enumerate(key)]
-    if valid:
-        wanted += [F.col(f"`{valid[0]}`").alias("_from"), F.col(f"`{valid[1]}`").alias("_to")]
-    slim = targets.select(*wanted)
-    columns = [F.col(f"`{r}`") for r, _ in key]
-    parts = []
-    for mask in product((True, False), repeat=len(key)):
-        of_mask = refs.where(reduce(lambda a, b: a & b, [c.isNotNull() if there else c.isNull() for c, there in zip(columns, mask, strict=True)]))
-        there = [i for i, x in enumerate(mask) if x]
-        if not there or (match == "simple" and len(there) < len(key)):
-            continue
-        if match == "full" and len(there) < len(key):
-            parts.append(of_mask)
-            continue
-        parts.append(_anti(of_mask, slim, [key[i][0] for i in there], [f"_t{i}" for i in there], at, total, max_hot, min_hot_rows, rows_per_salt))
-    if not parts:
-        return refs.where(F.lit(False))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _anti(refs: DataFrame, slim: DataFrame, of: list[str], on: list[str], at: str | None, total: int, max_hot: int, min_hot_rows: int, rows_per_salt: int) -> DataFrame:
-    names = refs.columns
-    slim = slim.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+    n = len(key)
+    every = 2**n - 1
+    there = [F.col(f"`{r}`").isNotNull() for r, _ in key]
+    mask = reduce(lambda a, b: a + b, [F.when(x, F.lit(2**i)).otherwise(F.lit(0)) for i, x in enumerate(there)])
+    row = F.struct(*[F.col(f"`{c}`") for c in refs.columns]).alias("_row")
+    keyed = refs.select(row, mask.alias("_mask"), *[F.col(f"`{r}`").alias(f"_k{i}") for i, (r, _) in enumerate(key)], *([F.col(f"`{at}`").alias("_at")] if at else []))
+    asked = keyed.where(F.col("_mask") == every) if match != "partial" else keyed.where(F.col("_mask") > 0)
+    masks = [every] if match != "partial" else list(range(1, every + 1))
+
+    ends = [F.col(f"`{valid[0]}`").alias("_from"), F.col(f"`{valid[1]}`").alias("_to")] if valid else []
+    slim = targets.select(*[F.col(f"`{t}`").alias(f"_t{i}") for i, (_, t) in enumerate(key)], *ends)
+    has = lambda m: reduce(lambda a, b: a & b, [F.col(f"_t{i}").isNotNull() for i in range(n) if m >> i & 1])
+    under = F.array_compact(F.array(*[F.when(has(m), F.struct(F.lit(m).alias("_mask"), *[(F.col(f"_t{i}") if m >> i & 1 else F.lit(None).cast(targets.schema[key[i][1]].dataType)).alias(f"_k{i}") for i in range(n)])) for m in masks]))
+    ks = ["_mask", *[f"_k{i}" for i in range(n)]]
+    offered = slim.select(F.explode(under).alias("_u"), *(["_from", "_to"] if valid else [])).select("_u.*", *(["_from", "_to"] if valid else []))
     if at:
         # One row per key and start: a later end covers an earlier one, and no start means always there.
         end = F.when(F.max(F.col("_to").isNull()), F.lit(None)).otherwise(F.max("_to"))
-        slim = slim.groupBy(*on, "_from").agg(end.alias("_to"))
+        offered = offered.groupBy(*ks, "_from").agg(end.alias("_to"))
     else:
-        slim = slim.select(*on).distinct()
-    keyed = refs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(of)], *([F.col(f"`{at}`").alias("_at")] if at else []))
-    ks = [f"_k{i}" for i in range(len(of))]
-    hot = hot_keys(keyed, ks, total, max_hot, min_hot_rows).select(*ks, salts_for(F.col("n_rows"), rows_per_salt).alias("_salts"))
-    hot = F.broadcast(hot)
+        offered = offered.distinct()
+    hot = hot_keys(asked, ks, max_hot, min_hot_rows).select(*[F.col(k).alias(f"_h{k}") for k in ks], salts_for(F.col("n_rows"), rows_per_salt).alias("_salts"))
+    # Under one mask no key column is null; under several the blanked ones are null on both sides.
+    same = lambda a, b: a == b if len(masks) == 1 else a.eqNullSafe(b)
+    with_salts = lambda df: df.join(F.broadcast(hot), [same(F.col(k), F.col(f"_h{k}")) for k in ks], "left").drop(*[f"_h{k}" for k in ks])
     spread = F.pmod(F.xxhash64("_row"), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
-    keyed = keyed.join(hot, ks, "left").withColumn("_salt", spread).drop("_salts")
-    renamed = slim.withColumnsRenamed({c: k for c, k in zip(on, ks, strict=True)})
-    salted = renamed.join(hot, ks, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    cond: list[Column] = [keyed[k] == salted[k] for k in ks] + [keyed["_salt"] == salted["_salt"]]
+    asked = with_salts(asked).withColumn("_salt", spread).drop("_salts")
+    salted = with_salts(offered).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    cond: list[Column] = [same(asked[k], salted[k]) for k in ks] + [asked["_salt"] == salted["_salt"]]
     if at:
-        begun = salted["_from"].isNull() | (salted["_from"] <= keyed["_at"])
-        cond.append(keyed["_at"].isNull() | (begun & (salted["_to"].isNull() | (salted["_to"] > keyed["_at"]))))
-    return keyed.join(salted, cond, "left_anti").select("_row.*")
+        begun = salted["_from"].isNull() | (salted["_from"] <= asked["_at"])
+        cond.append(asked["_at"].isNull() | (begun & (salted["_to"].isNull() | (salted["_to"] > asked["_at"]))))
+    orphans = asked.join(salted, cond, "left_anti").select("_row.*")
+    if match == "full" and n > 1:
+        orphans = orphans.unionByName(keyed.where((F.col("_mask") > 0) & (F.col("_mask") < every)).select("_row.*"))
+    return orphans
 
 
 def count_by_period(orphans: DataFrame, table_col: str, at: str) -> DataFrame:

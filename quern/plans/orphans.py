@@ -27,10 +27,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    refs = _references(spark, sf)
-    # The bound on hot keys only needs the order of magnitude: rows of the larger table, known from file footers.
-    total = table(spark, sf, "graph_edges").count() + table(spark, sf, "raw_pages").count()
-    return orphan_references(refs, _nodes(spark, sf), [("key", "id")], "simple", "at", ("added_at", "removed_at"), total=total)
+    return orphan_references(_references(spark, sf), _nodes(spark, sf), [("key", "id")], "simple", "at", ("added_at", "removed_at"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

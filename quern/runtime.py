@@ -85,14 +85,19 @@ def scope() -> Iterator[None]:
 atexit.register(drop_cuts)
 
 
-def hot_keys(rows: DataFrame, key: list[str], total: int, max_hot: int = 2000, min_rows: int = 1000) -> DataFrame:
-    """Every key with more than max(min_rows, total / max_hot) rows, with its exact row count ``n_rows``.
+def hot_keys(rows: DataFrame, key: list[str], max_hot: int = 2000, min_rows: int = 1000) -> DataFrame:
+    """Every key with more than max(min_rows, rows / max_hot) rows, with its exact row count ``n_rows``.
 
     Partial counts are made before the shuffle, so a hot key moves one row per map task. There can be at most
-    ``max_hot`` such keys whatever the data are, which is the bound that makes broadcasting the result safe.
+    ``max_hot`` such keys whatever the data are, which is the bound that makes broadcasting the result safe. The
+    number of all rows comes from the same counts (Spark reuses their exchange), so ``rows`` is read once, and the
+    keys are written, so it is not read again.
     """
-    least = max(min_rows, total // max_hot)
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > least)
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
+    whole = counted.agg(F.sum("n_rows").alias("n_rows")).where(F.col("n_rows").isNotNull()).withColumn("_all", F.lit(True))
+    made = cut(counted.where(F.col("n_rows") > min_rows).withColumn("_all", F.lit(False)).unionByName(whole, allowMissingColumns=True), "hot")
+    total = made.where("_all").agg(F.max("n_rows")).first()[0] or 0
+    return made.where(~F.col("_all") & (F.col("n_rows") > total // max_hot)).drop("_all")
 
 
 def salts_for(n_rows: Column, rows_per_salt: int) -> Column:
@@ -157,7 +162,7 @@ def previous(rows: DataFrame, group: list[str], order: list[str], columns: list[
     """
     window = Window.partitionBy(*group).orderBy(*order)
     plain = lambda df: df.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
-    hot = cut(hot_keys(rows, group, rows.count(), max_hot, hot_rows).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]), "hot")
+    hot = hot_keys(rows, group, max_hot, hot_rows).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
     if hot.isEmpty():
         return plain(rows)
     is_hot = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]

@@ -51,3 +51,9 @@ def test_period_report(spark):
     found = orphan_references(refs, nodes, [("key", "key")], "simple", "at", ("added", "removed"))
     rows = {(r.tbl, r.month): r.orphans for r in count_by_period(found.selectExpr("'t' AS tbl", "at"), "tbl", "at").collect()}
     assert rows == {("t", "2023-12"): 1, ("t", "2024-02"): 2, ("t", "2024-01"): 2, ("t", None): 1}
+
+
+def test_key_types_that_differ(spark):
+    refs = spark.createDataFrame([(1, 5, "x"), (2, None, "x"), (3, 7, None), (4, None, None), (5, 6, "x")], "id int, a int, b string")
+    nodes = spark.createDataFrame([(5.0, "x"), (7.0, "y"), (None, "z")], "a double, b string")
+    assert sorted(r.id for r in orphan_references(refs, nodes, [("a", "a"), ("b", "b")], "partial").collect()) == [5]

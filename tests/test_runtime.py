@@ -27,7 +27,9 @@ def test_running_total_of_all_and_of_nothing(spark):
 
 def test_hot_keys_are_exact_and_bounded(spark):
     df = spark.createDataFrame([("h",)] * 50 + [(f"k{i}",) for i in range(50)], "k string").repartition(5)
-    assert [(r.k, r.n_rows) for r in hot_keys(df, ["k"], 100, max_hot=10, min_rows=5).collect()] == [("h", 50)]
+    assert [(r.k, r.n_rows) for r in hot_keys(df, ["k"], max_hot=10, min_rows=5).collect()] == [("h", 50)]
+    assert hot_keys(df, ["k"], max_hot=2, min_rows=5).count() == 0  # a key must have more than half of the rows
+    assert hot_keys(df.where("false"), ["k"]).count() == 0
 
 
 @pytest.mark.parametrize("hot", [5, 1000])
