@@ -44,8 +44,8 @@ class CopyClasses:
 
     def __init__(self, keyed: DataFrame, max_hot: int = 2000, min_hot_rows: int = 1000, rows_per_salt: int = 50_000, label: str = "keyed"):
         self.keyed = cut(keyed, label)
-        hot = hot_keys(self.keyed, ["key"], self.keyed.count(), max_hot, min_hot_rows)
-        self.hot = cut(hot.select("key", salts_for(F.col("n_rows"), rows_per_salt).alias("salts")), f"{label}-hot")
+        hot = hot_keys(self.keyed, ["key"], max_hot, min_hot_rows)
+        self.hot = hot.select("key", salts_for(F.col("n_rows"), rows_per_salt).alias("salts"))
 
     def _hot_classes(self) -> DataFrame:
         rows = self.keyed.join(F.broadcast(self.hot), "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
