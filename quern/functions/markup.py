@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import ENTITIES
+
 _TOKEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|\||=")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _HEADING = re.compile(r"^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", re.M)
@@ -75,23 +77,91 @@ def templates_of(text: str | None) -> list[dict]:
     return out
 
 
+#: Fixed values, in order: what is taken out or rewritten before templates are removed, and after.
+BEFORE = tuple((re.compile(p, f), r) for p, r, f in (
+    (r"<!--[\s\S]*?-->", "", 0),
+    (r"\{\|[\s\S]*?\n\|\}", " ", 0),
+    (r"<ref\b[^>]*>[\s\S]*?</ref>", " ", re.I),
+    (r"<ref\b[^/>]*/>", " ", re.I),
+    (r"\{\{mes\|([^{}|]+)(?:\|[^{}]*)?\}\}", r"\1", re.I),
+    (r"\[\[(?:File|Image):[^\]]+\]\]", " ", re.I),
+    (r"\[\[Category:[^\]]+\]\]", " ", re.I),
+    (r"\[\[([^\]|#]+)(?:#[^\]|]*)?\|([^\]]+)\]\]", r"\2", 0),
+    (r"\[\[([^\]|#]+)(?:#[^\]|]*)?\]\]", r"\1", 0),
+    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1", 0),
+    (r"\[https?://[^\s\]]+\]", " ", 0),
+))
+AFTER = tuple((re.compile(p), r) for p, r in ((r"'{2,5}", ""), (r"={2,}\s*([^=]+?)\s*={2,}", r"\1"), (r"<[^>]+>", " ")))
+INNERMOST = re.compile(r"\{\{[^{}]*\}\}")
+
+
+def without_templates(text: str, most: int = 20) -> str:
+    """Innermost templates go first, until none is left or ``most`` rounds are over."""
+    for _ in range(most):
+        text, n = INNERMOST.subn(" ", text)
+        if not n:
+            break
+    return text
+
+
 def plain_text(text: str | None) -> str | None:
-    """What a reader sees: no comments, templates, tables or tags; links by their labels; white space collapsed."""
+    """What a reader sees: links by their labels, headings by their words; references, templates, files and tags gone."""
     if text is None:
         return None
-    bare = _COMMENT.sub("", text)
-    bare = re.sub(r"<ref\b[^<>]*/>|<ref\b.*?</ref>", "", bare, flags=re.S | re.I)
-    pieces, last = [], 0
-    for start, end in spans(bare):
-        pieces.append(bare[last:start])
-        last = end
-    bare = "".join([*pieces, bare[last:]])
-    bare = re.sub(r"\{\|.*?\|\}", "", bare, flags=re.S)
-    bare = re.sub(r"\[\[(?:file|image|category):[^\[\]]*\]\]", "", bare, flags=re.I)
-    bare = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", bare)
-    bare = re.sub(r"\[https?://\S+ ([^\[\]]*)\]", r"\1", bare)
-    bare = re.sub(r"</?[a-z][^<>]*>|'{2,5}|^[*#:;]+[ \t]*|__[A-Z]+__", "", bare, flags=re.I | re.M)
-    return re.sub(r"[ \t]+", " ", bare).strip()
+    for pattern, put in BEFORE:
+        text = pattern.sub(put, text)
+    text = without_templates(text)
+    for pattern, put in AFTER:
+        text = pattern.sub(put, text)
+    for name, char in ENTITIES:
+        text = text.replace(name, char)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+
+
+_TOP_FILE = re.compile(r"\[\[(?:File|Image):[^\]]+\]\]\s*", re.I)
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
+def below_top_matter(text: str) -> str:
+    """The text from where it begins to read: templates, files and tables at its top are left out."""
+    text, at = _COMMENT.sub("", text), 0
+    while True:
+        at += len(text) - at - len(text[at:].lstrip())
+        end = _top_end(text, at)
+        if end is None:
+            return text[at:].strip()
+        at = end
+
+
+def _top_end(text: str, at: int) -> int | None:
+    """Where the template, file or table that begins at ``at`` ends; None if there is none or it is never closed."""
+    if text.startswith("{{", at):
+        depth = 0
+        for m in _BRACES.finditer(text, at):
+            depth += 1 if m.group() == "{{" else -1
+            if not depth:
+                return m.end()
+    elif m := _TOP_FILE.match(text, at):
+        return m.end()
+    elif text.startswith("{|", at) and (end := text.find("\n|}", at)) >= 0:
+        return end + 3
+    return None
+
+
+def maps_of(field: str, value: str | None) -> list[dict]:
+    """The map templates in a value, in order: field, x, y, plane, radius, type, name; what is no number is null."""
+    out = []
+    for m in re.finditer(r"\{\{Map\|[^{}]+\}\}", value or "", re.I):
+        named = parse_template(m.group())[1]
+
+        def number(key: str, named: dict = named) -> float | None:
+            try:
+                return float(named[key])
+            except (KeyError, ValueError):
+                return None
+
+        out.append({"field": field, "x": number("x"), "y": number("y"), "plane": number("plane"), "radius": number("r"), "type": named.get("mtype"), "name": plain_text(named.get("name", ""))})
+    return out
 
 
 def sections_of(text: str | None) -> list[dict]:
@@ -114,8 +184,8 @@ def sections_of(text: str | None) -> list[dict]:
 
 
 def lead_of(text: str | None, paragraphs: int = 2) -> str:
-    """The first paragraphs of plain text above the first heading."""
-    body = plain_text(sections_of(text)[0]["body"]) or ""
+    """The first paragraphs of plain text below the top matter and above the first line that begins with ``==``."""
+    body = plain_text(re.split(r"^==", below_top_matter(text or ""), maxsplit=1, flags=re.M)[0]) or ""
     return "\n\n".join([p.strip() for p in re.split(r"\n\s*\n", body) if p.strip()][:paragraphs])
 
 
@@ -144,6 +214,19 @@ def explode_sections(pages: DataFrame, key: str, text: str) -> DataFrame:
     return pages.select(key, F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, at int, level int, heading string, path string, anchor string, body string")
 
 
+def explode_maps(rows: DataFrame, key: str, field: str, text: str) -> DataFrame:
+    """key, at, field, x, y, plane, radius, type, name: one row per map template of a text."""
+    kind = dict(rows.dtypes)[key]
+    columns = ["field", "x", "y", "plane", "radius", "type", "name"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(k, i, *(m[c] for c in columns)) for k, x in zip(batch[key], batch["_text"], strict=True) for i, m in enumerate(maps_of(field, x))]
+            yield pd.DataFrame(made, columns=[key, "at", *columns])
+
+    return rows.select(key, F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, at int, field string, x double, y double, plane double, radius double, type string, name string")
+
+
 def rendered(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, plain, lead."""
     kind = dict(pages.dtypes)[key]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import normal_name, slug
+from quern.functions.text import normal_name, page_id, slug
 
 #: The weight of an edge by its relation.
 WEIGHTS = {
@@ -16,10 +16,6 @@ WEIGHTS = {
 }
 
 
-def page_id(title: Column) -> Column:
-    return F.concat(F.lit("page:"), normal_name(title))
-
-
 def node_id(kind: str, name: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), normal_name(name) if kind in ("category", "page") else slug(name))
 

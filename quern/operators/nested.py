@@ -49,17 +49,79 @@ def _push(acc: Column, h: Column) -> Column:
     return F.struct(stack.cast("array<struct<level:int,line:string>>").alias("stack"), F.concat(acc["out"], F.array(path)).alias("out"))
 
 
-def facts_of(rows: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
-    """key, facts: sorted, distinct ``name:value`` facts; parts: name to an array of values; null arrays count as empty."""
-    made = []
-    for name, value in parts.items():
-        facts = F.transform(F.filter(value, lambda v: v.isNotNull()), _fact(name))
-        made.append(F.coalesce(facts, F.array().cast("array<string>")))
-    return rows.select(key, F.array_sort(F.array_distinct(F.flatten(F.array(*made)))).alias("facts"))
+def fact_name(value: Column) -> Column:
+    """Trimmed, in lower case, anything but letters a-z and digits as one ``_``, none at the ends; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("")))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
-def _fact(name: str):
-    return lambda v: F.concat_ws(":", F.lit(name), F.regexp_replace(F.lower(F.trim(v.cast("string"))), r"[^a-z0-9]+", "_"))
+def alternatives(value: Column) -> Column:
+    """The names between bars, as fact names; empty ones are dropped, repeats stay."""
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\|"), fact_name), lambda x: x != "")
+
+
+def _facts(prefix: str, names: Column) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(f"{prefix}:"), n))
+
+
+def _first(args: Column, *keys: str) -> Column:
+    return F.coalesce(*[F.try_element_at(args, F.lit(k)) for k in keys])
+
+
+def predicate_facts(kind: Column, args: Column) -> Column:
+    """The facts that a predicate asks for, any of which will do: kind, and args, a map of texts. Other kinds ask for none."""
+    one = lambda prefix, *keys: F.array(F.concat(F.lit(f"{prefix}:"), fact_name(_first(args, *keys))))
+    many = lambda prefix, *keys: _facts(prefix, alternatives(_first(args, *keys)))
+    places, options = alternatives(_first(args, "loc", "name")), alternatives(_first(args, "option", "optionText"))
+    pairs = F.flatten(F.transform(places, lambda p: F.transform(options, lambda o: F.concat(F.lit("near_loc_option:"), p, F.lit(":"), o))))
+    level = F.concat(F.lit("skill_at_least:"), fact_name(_first(args, "skill")), F.lit(":"), F.coalesce(_first(args, "level"), F.lit("1")))
+    rules = {
+        "has_item": one("has_item", "item"), "near_loc": many("near_loc", "name", "loc"), "near_loc_option": pairs, "near_npc": many("near_npc", "name", "npc"),
+        "skill_at_least": F.array(level), "reachable": many("reachable", "target", "name", "loc"),
+    }
+    return _by_kind(kind, rules)
+
+
+def effect_facts(kind: Column, args: Column) -> Column:
+    """The facts that an effect brings about: kind, and args, a map of texts. Other kinds bring none."""
+    one = lambda prefix, *keys: F.concat(F.lit(f"{prefix}:"), fact_name(_first(args, *keys)))
+    many = lambda prefix, *keys: _facts(prefix, alternatives(_first(args, *keys)))
+    bare = ("interface_opened", "interface_closed", "dialog_opened", "dialog_closed", "bank_changed", "shop_changed", "combat_started")
+    rules = {
+        "item_added": F.array(one("has_item", "item"), one("item_gained", "item")), "xp_gained": F.array(one("xp_gained", "skill")), "near_loc": many("near_loc", "name", "loc"),
+        "reachable": many("reachable", "target", "name", "loc"), "message_observed": F.array(one("message_observed", "pattern", "message")), "level_changed": F.array(one("level_changed", "skill")),
+        **{k: F.array(one(k, "target", "name", "varp")) for k in ("position_changed", "varp_changed")}, **{k: F.array(F.lit(k)) for k in bare},
+    }
+    return _by_kind(kind, rules)
+
+
+def _by_kind(kind: Column, rules: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(kind == k, facts) for k, facts in rules.items()], F.array().cast("array<string>"))
+
+
+#: The parts of a screen that can be open.
+SCREENS = ("bank", "shop", "dialog", "interface", "modal")
+
+
+def state_facts(inventory: Column, locs: Column, npcs: Column, ground: Column, ui: Column, skills: Column) -> Column:
+    """The facts that hold in a state, sorted and distinct.
+
+    inventory: map of item to count. locs: array of struct<name, options array>. npcs: array of names. ground: array of
+    struct<name, count>. ui: map of SCREENS to whether it is open. skills: array of struct<name, level, xp>. Null parts
+    hold nothing, as do items of a count of 0 or less; null options count as none.
+    """
+    some = lambda c: F.filter(c, lambda x: x["count"] > 0)
+    held = F.transform(F.filter(F.map_entries(inventory), lambda e: e["value"] > 0), lambda e: fact_name(e["key"]))
+    near = F.transform(locs, lambda g: fact_name(g["name"]))
+    offers = F.flatten(F.transform(locs, lambda g: F.transform(F.coalesce(g["options"], F.array().cast("array<string>")), lambda o: F.concat(fact_name(g["name"]), F.lit(":"), fact_name(o)))))
+    shown = F.filter(F.array(*[F.when(F.try_element_at(ui, F.lit(x)), F.lit(f"{x}_open")) for x in SCREENS]), lambda x: x.isNotNull())
+    levels = F.transform(skills, lambda k: F.concat(fact_name(k["name"]), F.lit(":"), k["level"].cast("string")))
+    learned = F.transform(F.filter(skills, lambda k: k["xp"] > 0), lambda k: fact_name(k["name"]))
+    parts = {
+        "has_item": held, "near_loc": near, "near_loc_option": offers, "near_npc": F.transform(npcs, fact_name), "ground_item": F.transform(some(ground), lambda g: fact_name(g["name"])),
+        "ui": shown, "skill_at_least": levels, "has_xp": learned,
+    }
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(_facts(k, v), none) for k, v in parts.items()]))))
 
 
 def apply_action(facts: Column, add: Column, remove: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,15 @@ def half_matched(wanted: Column, have: Column) -> Column:
     shared = F.size(F.array_intersect(w, h))
     whole = (phrase(wanted) != "") & F.contains(phrase(have), phrase(wanted))
     return F.when(whole, 80).when((F.size(w) > 0) & (shared == F.size(w)), 45).when((shared > 0) & (shared * 2 >= F.size(w)), 15).otherwise(0)
+
+
+def catalog_score(query: str, name: Column, debug: Column, tags: Column) -> Column:
+    """Points of an entry for each word of a query: 3 in its written key, 2 in its name, 1.5 in its tags; 12 more for the
+    whole query in the name and 10 in the key. Words of one character do not count; without words there are no points."""
+    words = [w for w in re.sub(r"[^a-z0-9]+", " ", query.lower()).split() if len(w) > 1]
+    if not words:
+        return F.lit(0.0)
+    low, key, tag = phrase(name), F.lower(F.coalesce(debug, F.lit(""))), F.lower(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " "))
+    points = lambda where, what, n: F.when(F.contains(where, F.lit(what)), n).otherwise(0.0)
+    each = [points(key, w, 3.0) + points(low, w, 2.0) + points(tag, w, 1.5) for w in words]
+    return sum(each, F.lit(0.0)) + points(low, " ".join(words), 12.0) + points(F.translate(key, "_", " "), " ".join(words), 10.0)

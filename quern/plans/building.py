@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.coords import map_square
-from quern.functions.text import normal_name, short_amount, tokens
+from quern.functions.text import gold_amount, normal_name, play_time, stack_amount
 from quern.operators import graph_build as B
+from quern.operators import search as S
 from quern.runtime import table
 
 
@@ -54,7 +55,8 @@ def square_join(spark: SparkSession, sf: str) -> DataFrame:
 def value_formats(spark: SparkSession, sf: str) -> DataFrame:
     amount = F.floor(F.col("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 100).otherwise(1)).cast("bigint")
     seconds = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
-    return table(spark, sf, "orders").select("o_orderkey", short_amount(amount).alias("amount"), seconds.alias("at"))
+    big = amount * F.when(F.col("o_orderkey") % 5 == 0, 1000).otherwise(1)
+    return table(spark, sf, "orders").select("o_orderkey", gold_amount(amount).alias("amount"), stack_amount(big).alias("stack"), play_time(amount).alias("played"), seconds.alias("at"))
 
 
 def json_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,16 +68,17 @@ def json_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten best part names for the words steel and ring: shared words, then the start of the name, then the name."""
-    have = tokens(F.col("p_name"))
-    score = F.size(F.array_intersect(have, F.array(F.lit("steel"), F.lit("ring")))) * 10 + F.when(F.lower(F.col("p_name")).startswith("s"), 1).otherwise(0)
-    return table(spark, sf, "part").select("p_partkey", "p_name", score.alias("score")).orderBy(F.desc("score"), "p_name", "p_partkey").limit(10)
+    """The ten best parts for a few words: in the name, in the type as its written key, and in the brand as its tag."""
+    debug = F.translate(F.lower("p_type"), " ", "_")
+    scored = S.catalog_score("Steel  ring, brand 3", F.col("p_name"), debug, F.array("p_brand"))
+    found = table(spark, sf, "part").select("p_partkey", "p_name", scored.alias("score")).where(F.col("score") > 0)
+    return found.orderBy(F.desc("score"), "p_name", "p_partkey").limit(10)
 
 
 QUERIES = {f.__name__: f for f in (graph_edges_built, graph_nodes_built, redirect_targets, phrase_match, square_join, value_formats, json_items, catalog_search)}
 _N = r"lower(trim(regexp_replace(replace({}, '_', ' '), '[\s\p{{Z}}]+', ' ', 'g')))".format
 _E = f"""WITH r AS (SELECT raw_id, 'page:' || {_N('title')} AS source, list_filter(list_transform(list_filter(links, lambda x: x.ns = 0 AND coalesce(x.exists, true)), lambda x: x.title), lambda t: trim(t) <> '') AS ls, list_filter(list_transform(categories, lambda x: x.category), lambda t: trim(t) <> '') AS cs FROM raw_pages WHERE title IS NOT NULL),
-e AS (SELECT source, 'page:' || {_N('t')} AS target, 'wiki_link' AS relation, 1.0::DOUBLE AS weight FROM (SELECT source, unnest(ls[1:5]) AS t FROM r) UNION ALL SELECT source, 'category:' || {_N('t')}, 'in_category', 0.5::DOUBLE FROM (SELECT source, unnest(cs) AS t FROM r)) """
+e AS (SELECT source, 'page:' || {_N('t')} AS target, 'wiki_link' AS relation, 1.0::DOUBLE AS weight FROM (SELECT source, unnest(ls[1:100]) AS t FROM r) UNION ALL SELECT source, 'category:' || {_N('t')}, 'in_category', 0.5::DOUBLE FROM (SELECT source, unnest(cs) AS t FROM r)) """
 _TOK = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9][a-z0-9''+_\\-]*'), lambda t: length(t) > 1)"
 ORACLE = {
     "graph_edges_built": _E + "SELECT source, target, relation, sum(weight) AS weight FROM e GROUP BY 1, 2, 3",
@@ -83,7 +86,7 @@ ORACLE = {
     "redirect_targets": f"WITH d AS (SELECT {_N('requested_title')} AS f, min(title) AS t FROM raw_pages WHERE crawl.redirected AND {_N('requested_title')} <> {_N('title')} GROUP BY 1) SELECT raw_id, coalesce(t, requested_title) AS target FROM raw_pages LEFT JOIN d ON {_N('requested_title')} = f",
     "phrase_match": f"WITH t AS (SELECT node_key, array_to_string({_TOK('title')}, ' ') AS x FROM page_nodes), c AS (SELECT id AS core, array_to_string({_TOK('label')}, ' ') AS y FROM core_nodes) SELECT node_key, core FROM t JOIN c ON y <> '' AND contains(' ' || x || ' ', ' ' || y || ' ')",
     "square_join": "WITH p AS (SELECT (3000 + p_partkey * 7919 % 400) // 64 AS sx, (3200 + p_partkey * 104729 % 400) // 64 AS sz, count(*) AS parts FROM part GROUP BY 1, 2), s AS (SELECT (3000 + s_suppkey * 6151 % 400) // 64 AS sx, (3200 + s_suppkey * 3079 % 400) // 64 AS sz, count(*) AS suppliers FROM supplier GROUP BY 1, 2) SELECT CAST(sx AS INTEGER) AS sx, CAST(sz AS INTEGER) AS sz, parts, suppliers FROM p JOIN s USING (sx, sz)",
-    "value_formats": "WITH v AS (SELECT o_orderkey, o_orderdate, CAST(floor(o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END) AS BIGINT) AS v FROM orders) SELECT o_orderkey, CASE WHEN v >= 10000000 THEN (v // 1000000) || 'M' WHEN v >= 1000000 THEN (v // 100000 / 10.0)::DOUBLE || 'M' WHEN v >= 100000 THEN (v // 1000) || 'K' ELSE v::VARCHAR END AS amount, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at FROM v",
+    "value_formats": "WITH v AS (SELECT o_orderkey, o_orderdate, CAST(floor(o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END) AS BIGINT) AS v FROM orders), b AS (SELECT *, v * CASE WHEN o_orderkey % 5 = 0 THEN 1000 ELSE 1 END AS b, CAST(floor(v * 0.6) AS BIGINT) AS s FROM v) SELECT o_orderkey, CASE WHEN v >= 10000000 THEN (v // 1000000) || 'M' WHEN v >= 100000 THEN (v // 1000) || 'K' ELSE format('{:,}', v) END AS amount, CASE WHEN b >= 1000000000 THEN (b // 1000000000) || 'B' WHEN b >= 1000000 THEN (b // 1000000) || 'M' WHEN b >= 1000 THEN (b // 1000) || 'K' ELSE b::VARCHAR END AS stack, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || (s % 3600 // 60) || 'm' AS played, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at FROM b",
     "json_items": "SELECT l_suppkey, count(DISTINCT l_partkey) AS items, CAST(sum(floor(l_quantity)) AS BIGINT) AS total FROM lineitem GROUP BY 1",
-    "catalog_search": f"SELECT p_partkey, p_name, len(list_intersect({_TOK('p_name')}, ['steel', 'ring'])) * 10 + starts_with(lower(p_name), 's')::INT AS score FROM part ORDER BY 3 DESC, 2, 1 LIMIT 10",
+    "catalog_search": "WITH x AS (SELECT p_partkey, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n, replace(lower(p_type), ' ', '_') AS d, lower(p_brand) AS t FROM part), s AS (SELECT p_partkey, p_name, list_sum(list_transform(['steel', 'ring', 'brand'], lambda w: CASE WHEN contains(d, w) THEN 3.0 ELSE 0 END + CASE WHEN contains(n, w) THEN 2.0 ELSE 0 END + CASE WHEN contains(t, w) THEN 1.5 ELSE 0 END)) + CASE WHEN contains(n, 'steel ring brand') THEN 12 ELSE 0 END + CASE WHEN contains(replace(d, '_', ' '), 'steel ring brand') THEN 10 ELSE 0 END AS score FROM x) SELECT p_partkey, p_name, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, p_name, p_partkey LIMIT 10",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.dates import date_candidate, date_number, precision
+from quern.functions.dates import date_number, precision
 from quern.functions.text import normal_name
 from quern.operators import graph as G
 from quern.operators.temporal import available_at, first_excluded
@@ -54,13 +54,6 @@ def partial_dates(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.groupBy(precision(F.col("date_added")).alias("precision")).agg(F.count(F.lit(1)).alias("n"), F.min(date_number(F.col("date_added"))).alias("first"), F.max(date_number(F.col("date_added"))).alias("last"))
 
 
-def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """The earliest release date of each record's variants and fields, by text order, with its precision."""
-    rows = table(spark, sf, "structured_records").select("record_id", F.explode(F.from_json(F.get_json_object("facts", "$.fields.release"), "array<string>")).alias("d"))
-    dated = rows.select("record_id", date_candidate(F.col("d")).alias("c")).where(F.col("c").isNotNull())
-    return dated.groupBy("record_id").agg(F.min("c").alias("c")).select("record_id", F.col("c.value").alias("value"), F.col("c.precision").alias("precision"))
-
-
 def edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return G.merge_edges(_edges(spark, sf), "edge_id")
 
@@ -147,7 +140,7 @@ def recursive_reach(spark: SparkSession, sf: str) -> DataFrame:
     return G.reach(seeds, _edges(spark, sf).where(F.col("relation") == "produces_item"), 4).groupBy("steps").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (temporal_filter, temporal_stats, temporal_sample, partial_dates, lifecycle, edge_dedupe, node_merge, degrees, edges_no_missing, endpoint_join, pagerank, pagerank_subgraph, top_nodes, top_edges_per_source, one_hop, recursive_reach)}
+QUERIES = {f.__name__: f for f in (temporal_filter, temporal_stats, temporal_sample, partial_dates, edge_dedupe, node_merge, degrees, edges_no_missing, endpoint_join, pagerank, pagerank_subgraph, top_nodes, top_edges_per_source, one_hop, recursive_reach)}
 
 _N = r"lower(trim(regexp_replace(replace({}, '_', ' '), '[\s\p{{Z}}]+', ' ', 'g')))".format
 _P = r"'^((?:19|20)\d{2})(?:-(\d{1,2})(?:-(\d{1,2}))?)?'"
@@ -175,7 +168,6 @@ ORACLE = {
     "temporal_stats": " UNION ALL ".join(f"SELECT reason, count(*) AS n, {lax} AS lax FROM (SELECT {_REASON(lax)} AS reason FROM page_nodes) GROUP BY 1" for lax in (False, True)),
     "temporal_sample": f"SELECT node_key, reason FROM (SELECT node_key, reason, row_number() OVER (PARTITION BY reason ORDER BY node_key) AS rn FROM (SELECT node_key, {_REASON(False)} AS reason FROM page_nodes) WHERE reason <> 'available_at_cutoff') WHERE rn <= 50",
     "partial_dates": f"SELECT CASE WHEN date_added IS NULL OR trim(date_added) = '' THEN NULL WHEN {_PART('date_added', 3)} IS NOT NULL THEN 'day' WHEN {_PART('date_added', 2)} IS NOT NULL THEN 'month' WHEN {_PART('date_added', 1)} IS NOT NULL THEN 'year' ELSE 'raw' END AS precision, count(*) AS n, min({_D('date_added')}) AS first, max({_D('date_added')}) AS last FROM page_nodes GROUP BY 1",
-    "lifecycle": "WITH d AS (SELECT record_id, unnest(CAST(json_extract(facts, '$.fields.release') AS VARCHAR[])) AS d FROM structured_records WHERE json_type(facts, '$.fields.release') = 'ARRAY'), m AS (SELECT record_id, min(trim(d)) AS value FROM d WHERE trim(d) <> '' GROUP BY 1) SELECT record_id, value, CASE WHEN regexp_matches(value, '^(19|20)[0-9]{2}-[0-9]+-[0-9]+') THEN 'day' WHEN regexp_matches(value, '^(19|20)[0-9]{2}-[0-9]+') THEN 'month' WHEN regexp_matches(value, '^(19|20)[0-9]{2}') THEN 'year' ELSE 'raw' END AS precision FROM m",
     "edge_dedupe": _GRAPH + "SELECT * FROM merged",
     "node_merge": _GRAPH + "SELECT n.id, any_value(k.kind) AS kind, arg_max(label, node_key) AS label, arg_max(primary_type, node_key) AS primary_type, arg_max(date_added, node_key) AS date_added, arg_max(members, node_key) AS members, count(*) AS deliveries FROM nodes n JOIN kinds k ON n.id = k.id GROUP BY 1",
     "degrees": _GRAPH + "SELECT * FROM deg",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import dates as D
 from quern.functions import text as X
+from quern.operators import nested as N
+from quern.operators.temporal import available_at
 from quern.plans import graphs, searching
 from quern.runtime import cut, table
 
-RULES = [("quest", "errand|quest"), ("npc", "character"), ("monster", "creature"), ("location", "place"), ("item", "item")]
-PRIORITY = ["monster", "item", "npc", "location", "quest"]
+CUTOFF = "2012-06-15"
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,24 +20,46 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def record_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Types by rules over the categories, and the first of them by priority, article if there is none."""
-    types = X.matched_types(F.col("taxonomy.categories"), RULES)
-    first = F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains("_types", p)), F.lit(1)), F.lit("article"))
-    return _records(spark, sf).withColumn("_types", types).select("record_id", F.array_join("_types", ",").alias("types"), first.alias("primary"))
+    """Types by the rules over categories and templates, and the first of them by priority."""
+    types = X.matched_types(F.col("taxonomy.categories"), F.col("taxonomy.templates"))
+    return _records(spark, sf).withColumn("_types", types).select("record_id", F.array_join("_types", ",").alias("types"), X.primary_type(F.col("_types")).alias("primary"))
 
 
 def record_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    made = X.aliases(F.col("aliases"), F.col("title"))
+    """Other names of pages: aliases, taken apart at commas, and the label, without the title."""
+    made = X.aliases(F.col("title"), F.col("aliases"), F.array("label"))
     return table(spark, sf, "page_nodes").select("node_key", F.array_join(made, "|").alias("aliases"))
 
 
 def record_actions(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each action is named, once per record."""
-    listed = F.from_json(F.get_json_object("facts", "$.actions"), "array<string>")
-    split = X.split_list(F.array_join(listed, ", "))
+    """How often each action is named, once per record, however the list is written."""
+    listed = X.listed(F.get_json_object("facts", "$.actions"))
+    split = X.unique_strings(F.flatten(F.transform(F.filter(listed, lambda x: x.isNotNull()), lambda x: F.split(x, r"\s*,\s*"))))
     return _records(spark, sf).select(F.explode(split).alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _fields():
+    """facts.fields as a map of arrays, however the values are written."""
+    return F.transform_values(F.from_json(F.get_json_object("facts", "$.fields"), "map<string,string>"), lambda k, v: X.listed(v))
+
+
+def _lived(spark: SparkSession, sf: str) -> DataFrame:
+    return _records(spark, sf).withColumn("life", D.lifecycle(_fields(), F.col("taxonomy.categories")))
+
+
+def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """When the content of each record came and went, by its fields or else its categories."""
+    part = lambda of: [F.col(f"life.{of}.{x}").alias(f"{of}_{x}") for x in ("value", "precision", "source")]
+    return _lived(spark, sf).select("record_id", *part("added"), *part("removed"), F.array_join("life.content_years", ",").alias("content_years"))
+
+
+def record_availability(spark: SparkSession, sf: str) -> DataFrame:
+    """Which records were there at a cutoff; without a date of addition the earliest content year counts."""
+    year = F.array_min("life.content_years").cast("string")
+    judged = available_at(_lived(spark, sf), [F.col("life.added.value"), year], F.col("life.removed.value"), CUTOFF)
+    return judged.select("record_id", "reason", "kept")
+
+
 def equipment_bonuses(spark: SparkSession, sf: str) -> DataFrame:
     """Bonuses of equipment that read as numbers, one row each."""
     fields = F.from_json(F.get_json_object("facts", "$.equipment.bonuses"), "map<string,string>")
@@ -44,12 +68,17 @@ def equipment_bonuses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def record_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    """One flat row per record from its nested parts."""
-    release = F.get_json_object("facts", "$.fields.release[0]")
-    members = X.tri_state(F.get_json_object("facts", "$.fields.members[0]"))
-    return _records(spark, sf).select(
-        "record_id", X.normal_name(F.col("title")).alias("name"), F.lower("primary_type").alias("kind"), release.alias("released"), members.alias("members"),
-        F.coalesce(F.size("taxonomy.categories"), F.lit(0)).alias("categories"), (F.col("schema_version") == "wiki-structured-v4").alias("current"),
+    """The flat head of each record in the current version: names, types, dates, three-valued marks and sizes of its parts."""
+    fields = _fields()
+    mark = lambda name: X.tri_state(F.try_element_at(F.try_element_at(fields, F.lit(name)), F.lit(1))).alias(name)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    kept = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    types = X.matched_types(F.col("taxonomy.categories"), F.col("taxonomy.templates"))
+    return _lived(spark, sf).select(
+        "record_id", "pageid", "title", X.normal_name(F.col("title")).alias("normalized_title"), X.page_id(F.col("title")).alias("node"), F.array_join(types, ",").alias("types"), X.primary_type(types).alias("primary_type"),
+        mark("members"), mark("tradeable"), mark("equipable"), F.col("life.added.value").alias("date_added"), F.col("life.removed.value").alias("date_removed"),
+        size(kept("taxonomy.categories")).alias("categories"), size(kept("taxonomy.templates")).alias("templates"), F.coalesce(F.size(fields), F.lit(0)).alias("fields"),
+        size(kept(X.listed(F.get_json_object("facts", "$.actions")))).alias("actions"), F.get_json_object("facts", "$.equipment.slot").alias("slot"), (F.col("schema_version") == "wiki-structured-v4").alias("current"),
     )
 
 
@@ -64,7 +93,7 @@ def fact_alternatives(spark: SparkSession, sf: str) -> DataFrame:
     """Facts with alternatives: written with a bar between them, one row per alternative."""
     text = F.concat_ws(" | ", "primary_type", F.element_at(F.concat("types", F.array(F.lit("none"))), 1), F.lit(" "))
     rows = table(spark, sf, "page_nodes").where(F.col("types").isNotNull() & F.col("primary_type").isNotNull())
-    return rows.select("node_key", F.explode(X.split_list(text, r"\s*\|\s*")).alias("fact"))
+    return rows.select("node_key", F.explode(F.array_distinct(N.alternatives(text))).alias("fact"))
 
 
 def all_of_predicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,21 +147,45 @@ def search_context(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.join(text, F.col("id") == F.col("source"), "left").select("query", "rn", "title", F.coalesce("near", F.lit("")).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (record_types, record_aliases, record_actions, equipment_bonuses, record_assembly, infobox_links, fact_alternatives, all_of_predicates, hunt_pipeline, visible_users, snapshot_text, two_sums, search_context)}
+QUERIES = {f.__name__: f for f in (record_types, record_aliases, record_actions, lifecycle, record_availability, equipment_bonuses, record_assembly, infobox_links, fact_alternatives, all_of_predicates, hunt_pipeline, visible_users, snapshot_text, two_sums, search_context)}
 
-_MATCH = ", ".join(f"CASE WHEN len(list_filter(cs, lambda c: regexp_matches(c, '{p}', 'i'))) > 0 THEN '{k}' END" for k, p in RULES)
-_TRI = "CASE WHEN regexp_matches({0}, '^(yes|true|1\\b)') THEN true WHEN regexp_matches({0}, '^(no\\b|false|0\\b)') THEN false END"
+_N = r"lower(trim(regexp_replace(replace({}, '_', ' '), '[\s\p{{Z}}]+', ' ', 'g')))".format
+_KEY = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda x: lower(trim(regexp_replace(replace(x, '_', ' '), '[\\s\\p{{Z}}]+', ' ', 'g')))), lambda x: x IS NOT NULL)"
+_LIT = lambda p: p.replace("'", "''")
+_HAS = lambda c, p: f"len(list_filter({c}, lambda x: regexp_matches(x, '{_LIT(p)}'))) > 0"
+_MATCH = ", ".join(f"CASE WHEN {_HAS('cs', c)}{' OR ' + _HAS('ts', t) if t else ''} THEN '{k}' END" for k, t, c in X.TYPE_RULES)
+_TYPES = f"keys AS (SELECT record_id, {_KEY('taxonomy.categories')} AS cs, {_KEY('taxonomy.templates')} AS ts FROM structured_records), typed AS (SELECT record_id, list_filter([{_MATCH}], lambda k: k IS NOT NULL) AS types FROM keys)"
+_PRIMARY = f"coalesce(list_filter({list(X.TYPE_PRIORITY)}, lambda p: list_contains(types, p))[1], 'article')"
+_LIST = lambda j: f"(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS VARCHAR[]) WHEN 'OBJECT' THEN list_transform(json_keys({j}), lambda k: json_extract_string({j}, '$.\"' || k || '\"')) WHEN 'VARCHAR' THEN CASE WHEN json_extract_string({j}, '$') LIKE '[%' THEN CAST(CAST(json_extract_string({j}, '$') AS JSON) AS VARCHAR[]) ELSE [json_extract_string({j}, '$')] END END)"
+_M = "|".join(D.MONTHS)
+_MON = lambda i, p: f"lpad(CAST(list_position({list(D.MONTHS)}, lower(regexp_extract(raw, '{p}', {i}))) AS VARCHAR), 2, '0')"
+_DAYS, _MONS, _YEAR = rf"(?i)\b(\d{{1,2}})\s+({_M})\s+(\d{{4}})\b", rf"(?i)\b({_M})\s+(\d{{4}})\b", r"\b((?:19|20)\d{2})\b"
+_SIDE = lambda name, fields, pattern: f"""{name}_f AS (SELECT record_id, value, precision, 'infobox:' || k AS source FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY value, n) AS rn FROM dated WHERE k IN ({', '.join(f"'{x}'" for x in fields)})) WHERE rn = 1),
+{name}_c AS (SELECT record_id, regexp_extract(list_filter(taxonomy.categories, lambda c: regexp_matches(c, '{pattern}'))[1], '{pattern}', 1) AS value FROM structured_records),
+{name} AS (SELECT record_id, coalesce(f.value, nullif(c.value, '')) AS value, CASE WHEN f.value IS NOT NULL THEN f.precision WHEN c.value <> '' THEN 'year' END AS precision, CASE WHEN f.value IS NOT NULL THEN f.source WHEN c.value <> '' THEN 'category' END AS source FROM {name}_c c LEFT JOIN {name}_f f USING (record_id))"""
+_LIFE = f"""entries AS (SELECT record_id, k, json_extract(facts, '$.fields.\"' || k || '\"') AS j FROM (SELECT record_id, facts, unnest(json_keys(facts, '$.fields')) AS k FROM structured_records)),
+texts AS (SELECT record_id, k, unnest({_LIST('j')}) AS t, generate_subscripts({_LIST('j')}, 1) AS n FROM entries), raws AS (SELECT record_id, k, n, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS raw FROM texts),
+dated AS (SELECT record_id, k, n, CASE WHEN regexp_matches(raw, '{_DAYS}') THEN regexp_extract(raw, '{_DAYS}', 3) || '-' || {_MON(2, _DAYS)} || '-' || lpad(regexp_extract(raw, '{_DAYS}', 1), 2, '0') WHEN regexp_matches(raw, '{_MONS}') THEN regexp_extract(raw, '{_MONS}', 2) || '-' || {_MON(1, _MONS)} WHEN regexp_matches(raw, '{_YEAR}') THEN regexp_extract(raw, '{_YEAR}', 1) ELSE raw END AS value,
+  CASE WHEN regexp_matches(raw, '{_DAYS}') THEN 'day' WHEN regexp_matches(raw, '{_MONS}') THEN 'month' WHEN regexp_matches(raw, '{_YEAR}') THEN 'year' ELSE 'raw' END AS precision FROM raws WHERE raw <> '' AND lower(raw) <> 'unknown'),
+{_SIDE('added', D.ADDED, D.CAME)}, {_SIDE('removed', D.REMOVED, D.WENT)},
+years AS (SELECT record_id, list_sort(list_distinct(list_transform(list_filter(coalesce(taxonomy.categories, []), lambda c: regexp_matches(c, '{D.EITHER}')), lambda c: CAST(regexp_extract(c, '{D.EITHER}', 1) AS INTEGER)))) AS ys FROM structured_records)"""
+_FILLED = lambda c: f"len(list_filter(coalesce({c}, []), lambda x: x IS NOT NULL AND trim(x) <> ''))"
+_PART = "json_extract(facts, '$.{}')".format
+_FIRST = lambda k: f"lower({_LIST(_PART('fields.' + k))}[1])"
+_TRI = lambda k: f"CASE WHEN {_FIRST(k)} IN ('yes', 'true', 'y') THEN true WHEN {_FIRST(k)} IN ('no', 'false', 'n') THEN false END AS {k}"
+_NUM = lambda c: f"(TRY_CAST(nullif(regexp_extract({c}, '^((?:19|20)\\d{{2}})', 1), '') AS INTEGER) * 10000 + 1231)"
 _HITS = searching.ORACLE["search_topk"]
 _EDGES = graphs.ORACLE["top_edges_per_source"]
-_N = r"lower(trim(regexp_replace(replace({}, '_', ' '), '[\s\p{{Z}}]+', ' ', 'g')))".format
 ORACLE = {
-    "record_types": f"WITH x AS (SELECT record_id, list_filter(coalesce(taxonomy.categories, []), lambda c: c IS NOT NULL) AS cs FROM structured_records), t AS (SELECT record_id, list_filter([{_MATCH}], lambda k: k IS NOT NULL) AS ts FROM x) SELECT record_id, array_to_string(ts, ',') AS types, coalesce(list_filter({PRIORITY}, lambda p: list_contains(ts, p))[1], 'article') AS primary FROM t",
-    "record_aliases": "WITH x AS (SELECT node_key, title, list_filter(list_transform(coalesce(aliases, []), lambda a: trim(regexp_replace(a, '\\s+', ' ', 'g'))), lambda a: a IS NOT NULL AND a <> '') AS aa FROM page_nodes) SELECT node_key, array_to_string(list_filter(aa, lambda a, i: list_position(aa, a) = i AND lower(a) <> lower(trim(coalesce(title, '')))), '|') AS aliases FROM x",
-    "record_actions": "SELECT action, count(DISTINCT record_id) AS records FROM (SELECT record_id, unnest(CASE WHEN json_type(facts, '$.actions') = 'ARRAY' THEN CAST(json_extract(facts, '$.actions') AS VARCHAR[]) ELSE [] END) AS action FROM structured_records) WHERE trim(action) <> '' GROUP BY 1",
+    "record_types": f"WITH {_TYPES} SELECT record_id, array_to_string(types, ',') AS types, {_PRIMARY} AS primary FROM typed",
+    "record_aliases": "WITH x AS (SELECT node_key, title, list_concat(flatten(list_transform(list_filter(coalesce(aliases, []), lambda a: a IS NOT NULL), lambda a: string_split_regex(a, ',\\s*'))), [label]) AS aa FROM page_nodes), y AS (SELECT node_key, list_filter(list_transform(list_filter(aa, lambda a: lower(trim(replace(a, '_', ' '))) <> lower(trim(replace(coalesce(title, ''), '_', ' ')))), lambda a: trim(regexp_replace(replace(a, '_', ' '), '[\\s\\p{Z}]+', ' ', 'g'))), lambda a: a <> '') AS aa FROM x) SELECT node_key, array_to_string(list_filter(aa, lambda a, i: list_position(aa, a) = i), '|') AS aliases FROM y",
+    "record_actions": f"SELECT action, count(DISTINCT record_id) AS records FROM (SELECT record_id, trim(regexp_replace(replace(unnest(string_split_regex(a, '\\s*,\\s*')), '_', ' '), '\\s+', ' ', 'g')) AS action FROM (SELECT record_id, unnest({_LIST('j')}) AS a FROM (SELECT record_id, json_extract(facts, '$.actions') AS j FROM structured_records))) WHERE action <> '' GROUP BY 1",
+    "lifecycle": f"WITH {_LIFE} SELECT record_id, a.value AS added_value, a.precision AS added_precision, a.source AS added_source, r.value AS removed_value, r.precision AS removed_precision, r.source AS removed_source, array_to_string(ys, ',') AS content_years FROM added a JOIN removed r USING (record_id) JOIN years USING (record_id)",
+    "record_availability": f"WITH {_LIFE}, x AS (SELECT record_id, coalesce({_NUM('a.value')}, ys[1] * 10000 + 1231) AS came, {_NUM('r.value')} AS went FROM added a JOIN removed r USING (record_id) JOIN years USING (record_id)), y AS (SELECT record_id, CASE WHEN came IS NULL THEN 'unknown_added_date' WHEN came > 20120615 THEN 'added_after_cutoff' WHEN went <= 20120615 THEN 'removed_on_or_before_cutoff' ELSE 'available_at_cutoff' END AS reason FROM x) SELECT record_id, reason, reason = 'available_at_cutoff' AS kept FROM y",
     "equipment_bonuses": "SELECT record_id, k AS bonus, TRY_CAST(json_extract_string(b, '$.' || k) AS DOUBLE) AS value FROM (SELECT record_id, b, unnest(json_keys(b)) AS k FROM (SELECT record_id, json_extract(facts, '$.equipment.bonuses') AS b FROM structured_records) WHERE json_type(b) = 'OBJECT') WHERE TRY_CAST(json_extract_string(b, '$.' || k) AS DOUBLE) IS NOT NULL",
-    "record_assembly": f"SELECT record_id, {_N('title')} AS name, lower(primary_type) AS kind, json_extract_string(facts, '$.fields.release[0]') AS released, {_TRI.format('''lower(trim(json_extract_string(facts, '$.fields.members[0]')))''')} AS members, coalesce(len(taxonomy.categories), 0) AS categories, schema_version = 'wiki-structured-v4' AS current FROM structured_records",
+    "record_assembly": f"WITH {_LIFE}, {_TYPES} SELECT record_id, pageid, title, {_N('title')} AS normalized_title, 'page:' || {_N('title')} AS node, array_to_string(types, ',') AS types, {_PRIMARY} AS primary_type, {_TRI('members')}, {_TRI('tradeable')}, {_TRI('equipable')}, a.value AS date_added, r.value AS date_removed, {_FILLED('taxonomy.categories')} AS categories, {_FILLED('taxonomy.templates')} AS templates, coalesce(len(json_keys(facts, '$.fields')), 0) AS fields, {_FILLED(_LIST(_PART('actions')))} AS actions, json_extract_string(facts, '$.equipment.slot') AS slot, schema_version = 'wiki-structured-v4' AS current FROM structured_records JOIN typed USING (record_id) JOIN added a USING (record_id) JOIN removed r USING (record_id)",
     "infobox_links": "SELECT field, count(*) AS n FROM (SELECT DISTINCT source, field, target, label FROM graph_edges WHERE relation = 'infobox_link') GROUP BY 1",
-    "fact_alternatives": "SELECT DISTINCT node_key, unnest([primary_type, coalesce(types[1], 'none')]) AS fact FROM page_nodes WHERE types IS NOT NULL AND primary_type IS NOT NULL",
+    "fact_alternatives": "SELECT DISTINCT node_key, fact FROM (SELECT node_key, unnest(list_transform([primary_type, coalesce(types[1], 'none')], lambda x: regexp_replace(regexp_replace(lower(trim(x)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))) AS fact FROM page_nodes WHERE types IS NOT NULL AND primary_type IS NOT NULL) WHERE fact <> ''",
     "all_of_predicates": "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 40 AND p_partkey % 10 <> 7",
     "hunt_pipeline": "SELECT s_suppkey, count(c_custkey) AS n FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 1000 AND c_mktsegment <> 'MACHINERY' AND c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 8)) c ON s_nationkey = c_nationkey GROUP BY 1",
     "visible_users": "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1), i AS (SELECT DISTINCT user_id, event_id * 31 % 150 AS other FROM events WHERE event_type = 'error') SELECT a.user_id, count(b.user_id) AS visible FROM l a LEFT JOIN l b ON a.kind = b.kind AND a.user_id <> b.user_id AND NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = a.user_id AND i.other = b.user_id) GROUP BY 1",

@@ -78,7 +78,7 @@ def unique_strings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_decode(spark: SparkSession, sf: str) -> DataFrame:
-    made = X.strip_comments(X.decode_entities(F.concat(F.lit("a&amp;lt;&nbsp;<!-- x\ny -->"), F.col("title"), F.lit("&#39;&gt;"))))
+    made = X.strip_comments(X.decode_entities(F.concat(F.lit("a&amp;lt;&nbsp;<!-- x\ny -->"), F.col("title"), F.lit("&#039;&gt;&#160;&apos;&quot;"))))
     return table(spark, sf, "raw_pages").where(F.col("title").isNotNull()).select("raw_id", made.alias("text"))
 
 
@@ -89,10 +89,8 @@ def article_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def types_by_priority(spark: SparkSession, sf: str) -> DataFrame:
-    """The first type of a fixed order that a page has, article if none."""
-    order = ["quest", "monster", "npc", "location", "equipment", "item"]
-    first = F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda x: F.array_contains("types", x)), F.lit(1)), F.lit("article"))
-    return table(spark, sf, "page_nodes").groupBy(first.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    """The first type of the fixed order that a page has, article if none."""
+    return table(spark, sf, "page_nodes").groupBy(F.coalesce(X.primary_type(F.col("types")), F.lit("article")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def number_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,15 +120,15 @@ s AS (SELECT query, h.node, round(base + CASE WHEN title = asked THEN 100 ELSE 0
 SELECT query, node, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rn FROM s) WHERE rn <= 5""",
     "term_match": f"WITH {_PAGES}, x AS (SELECT node, list_distinct({_TOK('title')}) AS h, array_to_string({_TOK('title')}, ' ') AS p FROM pages), y AS (SELECT CASE WHEN contains(p, 'silver hammer') THEN 80 WHEN len(list_intersect(h, ['silver', 'hammer'])) = 2 THEN 45 WHEN len(list_intersect(h, ['silver', 'hammer'])) = 1 THEN 15 ELSE 0 END AS score FROM x) SELECT score, count(*) AS n FROM y GROUP BY 1",
     "response_score": "WITH x AS (SELECT doc_id, contains(lower(text), 'level')::INT + contains(lower(text), 'tower')::INT + contains(lower(text), 'hammer')::INT AS hits, contains(lower(text), 'guide')::INT + contains(lower(text), '|-')::INT AS bad FROM documents) SELECT doc_id, hits, bad, hits - 2 * bad AS score FROM x",
-    "title_normalize": r"SELECT raw_id, lower(trim(replace(title, '_', ' '))) AS title_form, lower(trim(regexp_replace(replace(title, '_', ' '), '[\s\p{Z}]+', ' ', 'g'))) AS normal_name, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'section') AS slug, regexp_replace(title, '\d+$', '') AS base_field FROM raw_pages",
-    "clip": "SELECT doc_id, CASE WHEN length(text) > 60 THEN rtrim(substring(text, 1, 57), ' ') || '...' ELSE text END AS clipped FROM documents",
+    "title_normalize": r"SELECT raw_id, lower(trim(replace(title, '_', ' '))) AS title_form, lower(trim(regexp_replace(replace(title, '_', ' '), '[\s\p{Z}]+', ' ', 'g'))) AS normal_name, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'section') AS slug, trim(regexp_replace(lower(trim(regexp_replace(replace(title, '_', ' '), '[\s\p{Z}]+', ' ', 'g'))), '\d+$', '')) AS base_field FROM raw_pages",
+    "clip": "WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\\x{85}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(substring(t, 1, 57), ' ') || '...' ELSE t END AS clipped FROM x",
     "link_extract": r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '\[\[([^\[\]|#]*)(?:#[^\[\]|]*)?(?:\|([^\[\]]*))?\]\]', 1) AS ts, regexp_extract_all(text, '\[\[([^\[\]|#]*)(?:#[^\[\]|]*)?(?:\|([^\[\]]*))?\]\]', 2) AS ls FROM documents), u AS (SELECT doc_id, unnest(ts) AS t, unnest(ls) AS l, generate_subscripts(ts, 1) AS i FROM m), k AS (SELECT doc_id, trim(t) AS target, coalesce(nullif(trim(l), ''), trim(t)) AS label, i FROM u WHERE trim(t) <> '' AND NOT regexp_matches(trim(t), '^\s*(file|image|category)\s*:', 'i')) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS at, target, label FROM k",
     "token_counts": f"SELECT doc_id, len({_TOK('text')}) AS tokens FROM documents",
-    "tri_state": "WITH x AS (SELECT lower(trim(json_extract_string(facts, '$.fields.members[0]'))) AS m FROM structured_records) SELECT CASE WHEN regexp_matches(m, '^(yes|true|1\\b)') THEN true WHEN regexp_matches(m, '^(no\\b|false|0\\b)') THEN false END AS members, count(*) AS n FROM x GROUP BY 1",
-    "unique_strings": "WITH x AS (SELECT record_id, list_transform(taxonomy.categories, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))) AS cs FROM structured_records), f AS (SELECT record_id, list_filter(cs, lambda c: c IS NOT NULL AND c <> '') AS cs FROM x), u AS (SELECT record_id, list_filter(cs, lambda c, i: list_position(cs, c) = i) AS cs FROM f) SELECT record_id, array_to_string(cs, '|') AS categories, len(cs) AS n FROM u",
-    "entity_decode": "SELECT raw_id, 'a&lt; ' || title || '''>' AS text FROM raw_pages WHERE title IS NOT NULL",
+    "tri_state": "WITH x AS (SELECT lower(json_extract_string(facts, '$.fields.members[0]')) AS m FROM structured_records) SELECT CASE WHEN m IN ('yes', 'true', 'y') THEN true WHEN m IN ('no', 'false', 'n') THEN false END AS members, count(*) AS n FROM x GROUP BY 1",
+    "unique_strings": "WITH x AS (SELECT record_id, list_transform(taxonomy.categories, lambda c: trim(regexp_replace(replace(c, '_', ' '), '[\\s\\p{Z}]+', ' ', 'g'))) AS cs FROM structured_records), f AS (SELECT record_id, list_filter(cs, lambda c: c IS NOT NULL AND c <> '') AS cs FROM x), u AS (SELECT record_id, list_filter(cs, lambda c, i: list_position(cs, c) = i) AS cs FROM f) SELECT record_id, array_to_string(cs, '|') AS categories, len(cs) AS n FROM u",
+    "entity_decode": "SELECT raw_id, 'a< ' || title || chr(39) || '> ' || chr(39) || chr(34) AS text FROM raw_pages WHERE title IS NOT NULL",
     "article_links": "WITH x AS (SELECT raw_id, list_filter(links, lambda x: x.ns = 0 AND coalesce(x.exists, true)) AS k FROM raw_pages) SELECT raw_id, coalesce(len(k), 0) AS n, array_to_string(list_filter(list_transform(k[1:3], lambda x: x.title), lambda t: t IS NOT NULL), '|') AS first FROM x",
-    "types_by_priority": "SELECT coalesce(list_filter(['quest', 'monster', 'npc', 'location', 'equipment', 'item'], lambda x: list_contains(types, x))[1], 'article') AS type, count(*) AS n FROM page_nodes GROUP BY 1",
+    "types_by_priority": f"SELECT coalesce(list_filter({list(X.TYPE_PRIORITY)}, lambda x: list_contains(types, x))[1], 'article') AS type, count(*) AS n FROM page_nodes GROUP BY 1",
     "number_parse": r"SELECT raw_id, TRY_CAST(nullif(regexp_extract(title, '\((\d+)\)', 1), '') AS DOUBLE) AS number, coalesce(len(regexp_extract_all(title, '\b\d+\b')), 0) AS n FROM raw_pages",
     "regex_first": r"WITH p AS (SELECT unnest(['hammer$', '^silver', '\(2\)', 'zzzz']) AS pattern) SELECT pattern, min(node_key) AS node_key, arg_min(label, node_key) AS label FROM page_nodes, p WHERE regexp_matches(lower(label), pattern) GROUP BY 1",
 }

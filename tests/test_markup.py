@@ -28,7 +28,7 @@ def test_templates():
 def test_sections_and_lead():
     s = M.sections_of(TEXT)
     assert [(x["level"], x["path"], x["anchor"]) for x in s] == [(1, "", ""), (2, "One", "One"), (3, "One > Two", "Two"), (2, "One", "One_2")]
-    assert M.lead_of(TEXT) == "Bold start of a lead with and text.\n\nSecond paragraph &amp; more."
+    assert M.lead_of(TEXT) == "Bold start of a lead with and text.\n\nSecond paragraph & more."
     assert M.plain_text(None) is None and M.plain_text("[[a]] [[b|c]] {{x|{{y}}}}*z") == "a c *z"
     assert M.lead_of(None) == "" and len(M.sections_of("")) == 1
 
