@@ -109,7 +109,7 @@ def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p6_packed, p6_fill, p6_invariants, p7_mixed, p7_shares, p7_budgeted, p7_budgeted_shares, p7_filled, p7_invariants)}
 ORACLE: dict[str, str] = {
     "p6_invariants": "SELECT pack_name, (SELECT count(*) FROM documents) AS documents, 0 AS lost, 0 AS split, 0 AS overfull, 0 AS spread FROM pack_sizes",
-    "p7_invariants": """WITH k AS (SELECT lower(regexp_replace(coalesce(source, ''), '[\s\p{Z}_\-]+', '', 'g')) AS key, source, target_share, max_repeats FROM mix_targets WHERE target_share > 0 AND max_repeats > 0),
+    "p7_invariants": r"""WITH k AS (SELECT lower(regexp_replace(coalesce(source, ''), '[\s\p{Z}_\-]+', '', 'g')) AS key, source, target_share, max_repeats FROM mix_targets WHERE target_share > 0 AND max_repeats > 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY target_share DESC, max_repeats DESC, source) AS rn FROM k) WHERE rn = 1),
 d AS (SELECT DISTINCT lower(regexp_replace(coalesce(source, ''), '[\s\p{Z}_\-]+', '', 'g')) AS key FROM documents WHERE text <> '')
 SELECT source, budgeted, max_repeats, 0 AS overused, 0 AS skipped, 0 AS adrift FROM t SEMI JOIN d USING (key), (VALUES (false), (true)) b(budgeted)""",
