@@ -51,14 +51,19 @@ def degrees(nodes: DataFrame, edges: DataFrame, link_relation: str = "wiki_link"
     return nodes.select("id").distinct().join(sums, "id", "left").na.fill(0)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 25, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 25, damping: float = 0.85) -> DataFrame:
     """id, rank: weighted PageRank. Uniform start; the mass of nodes without outgoing weight is spread evenly.
 
-    nodes: id, unique. edges: source, target, weight, between nodes; others are dropped. n counts all nodes. The
-    edges are aggregated to shares once. Each round is a join on the source, an aggregation by target with partial
-    sums before the shuffle (so a hot target moves one row per task), and a left join to the nodes; lineage is cut
-    to a written table every ``cut_every`` rounds.
+    nodes: id, unique. edges: source, target, weight, between nodes; others are dropped. n counts all nodes.
+
+    With M the shares of the edges, round i + 1 is ``d M r + c_i``, where only the number ``c_i`` depends on the mass
+    without outgoing weight. So ``r`` after all rounds is a weighted sum of ``v_j = (d M)^j 1``, and a round is one join
+    of the shares, which are partitioned by source once, with the last ``v``, and one aggregation by target with partial
+    sums before the shuffle (a hot target moves one row per task). Each ``v``, at most a row per node, is written, so
+    plans do not grow with the rounds. The numbers ``c_i`` follow from the mass of each ``v`` that lies on nodes without outgoing weight, and the result is one
+    aggregation over all ``v``. A source with very many edges is split by AQE's skew join.
     """
+    spark = nodes.sparkSession
     ids = cut(nodes.select("id").distinct(), "pr-nodes")
     n = ids.count()
     if not n:
@@ -67,23 +72,33 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 25, damping: floa
     inside = merged.join(ids, merged["source"] == ids["id"], "left_semi").join(ids, merged["target"] == ids["id"], "left_semi")
     out = inside.groupBy(F.col("source").alias("_s")).agg(F.sum("w").alias("_all")).where(F.col("_all") > 0)
     shares = cut(inside.join(out, F.col("source") == F.col("_s")).select("source", "target", (F.col("w") / F.col("_all")).alias("share")), "pr-shares")
-    sources = shares.select(F.col("source").alias("id")).distinct().withColumn("linked", F.lit(True))
-    base = cut(ids.join(sources, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked")), "pr-base")
-    ranks = base.select("id", "linked", F.lit(1.0 / n).alias("rank"))
+    by_source = shares.repartition("source").persist()
+    try:
+        v, written = None, []
+        for j in range(1, rounds + 1):
+            joined = by_source.join(v.withColumnRenamed("id", "source"), "source") if v is not None else by_source.withColumn("v", F.lit(1.0))
+            v = cut(joined.groupBy(F.col("target").alias("id")).agg((F.sum(F.col("v") * F.col("share")) * damping).alias("v")), "pr-v")
+            written.append(v.withColumn("j", F.lit(j)))
+    finally:
+        by_source.unpersist()
+    every = reduce(DataFrame.unionByName, written)
+    ends = cut(ids.join(shares.select(F.col("source").alias("id")).distinct(), "id", "left_anti"), "pr-ends")
+    masses = {0: float(ends.count()), **{r["j"]: r["m"] for r in every.join(ends, "id", "left_semi").groupBy("j").agg(F.sum("v").alias("m")).collect()}}
+    c: list[float] = []
     for i in range(rounds):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
-        given = shares.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        joined = base.join(given, "id", "left").join(F.broadcast(loose))
-        value = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        ranks = joined.select("id", "linked", value.alias("rank"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            ranks = cut(ranks, "pr-ranks")
-    return ranks.select("id", "rank")
-
-
-def edge_score(priority: Column, weight: Column, rank: Column, dated: Column) -> Column:
-    """Priority times weight, raised by the rank of the target, a fifth of it for dates."""
-    return priority * weight * (1 + F.log1p(rank * 1e5)) * F.when(dated, 0.2).otherwise(1.0)
+        loose = sum(c[i - 1 - j] * masses.get(j, 0.0) for j in range(i)) + masses.get(i, 0.0) / n
+        c.append(((1 - damping) + damping * loose) / n)
+    weights = spark.createDataFrame([(j, c[rounds - 1 - j] if j < rounds else 1.0 / n) for j in range(1, rounds + 1)], "j int, weight double")
+    got = every.join(F.broadcast(weights), "j").groupBy("id").agg(F.sum(F.col("v") * F.col("weight")).alias("got"))
+    return ids.join(got, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) + F.lit(c[rounds - 1])).alias("rank"))
+
+
+def edge_score(priority: Column, weight: Column, rank: Column, *dates: Column) -> Column:
+    """Priority times weight, raised by the rank of the target; a fifth of it for each sign of a date."""
+    score = priority * weight * (1 + F.log1p(rank * 1e5))
+    for dated in dates:
+        score = score * F.when(dated, 0.2).otherwise(1.0)
+    return score
 
 
 def top_edges(edges: DataFrame, score: Column, most: int = 250, tie: list[str] = ("target", "relation")) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.dates import date_number, precision
-from quern.functions.text import normal_name
 from quern.operators import graph as G
 from quern.operators.temporal import available_at, first_excluded
+from quern.plans.ranks import PAGE_RANKS, edges_of, nodes_of, page_ranks, rank_sql
 from quern.runtime import cut, table
 
 CUT = "2012-06-15"
@@ -17,21 +17,10 @@ PRIORITY = {
     "lead_link": 5.0, "infobox_link": 4.0, "requires_material": 9.0, "requires_skill": 9.0, "requires_tool": 8.0, "requires_facility": 8.0, "produces_item": 8.0, "variant_location": 4.0,
     "variant_quest": 4.0, "has_action": 3.0, "variant_action": 3.0, "equips_in_slot": 2.5, "uses_combat_style": 2.0, "wiki_link": 1.0, "in_category": 0.5,
 }
-#: Relations that count as links between pages, and the infobox fields that hold dates.
-PAGE_LINKS = ("wiki_link", "lead_link", "infobox_link")
+#: The infobox fields that hold dates.
 DATE_FIELDS = ("release", "removal", "update", "removalupdate")
 
 
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    both = table(spark, sf, "page_nodes").unionByName(table(spark, sf, "core_nodes"))
-    return both.withColumn("id", normal_name(F.col("id")))
-
-
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "graph_edges")
-    return raw.select("edge_id", normal_name(F.col("source")).alias("source"), normal_name(F.col("target")).alias("target"), "relation", "field", "weight", "built_at")
-
-
 def _judged(spark: SparkSession, sf: str, lax: bool = False) -> DataFrame:
     return available_at(table(spark, sf, "page_nodes"), [F.col("date_added")], F.col("date_removed"), CUT, lax)
 
@@ -55,35 +44,35 @@ def partial_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return G.merge_edges(_edges(spark, sf), "edge_id")
+    return G.merge_edges(edges_of(spark, sf), "edge_id")
 
 
 def node_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return G.merge_nodes(_nodes(spark, sf), "node_key", ["kind", "label", "primary_type", "date_added", "members"])
+    return G.merge_nodes(nodes_of(spark, sf), "node_key", ["kind", "label", "primary_type", "date_added", "members"])
 
 
 def degrees(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.degrees(_nodes(spark, sf), G.merge_edges(_edges(spark, sf), "edge_id"))
+    found = G.degrees(nodes_of(spark, sf), G.merge_edges(edges_of(spark, sf), "edge_id"))
     return found.withColumns({c: F.round(c, 3) for c in ("weighted_indegree", "weighted_outdegree")})
 
 
 def edges_no_missing(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _nodes(spark, sf)
-    return G.known_at_sight(_edges(spark, sf), nodes, "built_at", "added_at").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    nodes = nodes_of(spark, sf)
+    return G.known_at_sight(edges_of(spark, sf), nodes, "built_at", "added_at").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 def endpoint_join(spark: SparkSession, sf: str) -> DataFrame:
     """Edges by relation and by the kinds of their ends, both of which must be nodes."""
-    kinds = G.merge_nodes(_nodes(spark, sf), "node_key", ["kind"]).select("id", "kind")
-    edges = _edges(spark, sf)
+    kinds = G.merge_nodes(nodes_of(spark, sf), "node_key", ["kind"]).select("id", "kind")
+    edges = edges_of(spark, sf)
     both = edges.join(kinds.select(F.col("id").alias("source"), F.col("kind").alias("source_kind")), "source").join(kinds.select(F.col("id").alias("target"), F.col("kind").alias("target_kind")), "target")
     return both.groupBy("relation", "source_kind", "target_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ranks(spark: SparkSession, sf: str, links_only: bool = False) -> DataFrame:
-    edges = _edges(spark, sf)
+    edges = edges_of(spark, sf)
     edges = edges.where((F.col("relation") == "wiki_link") & F.col("source").startswith("page:")) if links_only else edges
-    return G.pagerank(_nodes(spark, sf), edges.where(F.col("source") != F.col("target")))
+    return G.pagerank(nodes_of(spark, sf), edges.where(F.col("source") != F.col("target")))
 
 
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +85,7 @@ def pagerank_subgraph(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty pages with the highest weighted in-degree."""
-    pages = G.merge_nodes(_nodes(spark, sf), "node_key", ["kind"]).where(F.col("kind") == "page").select("id")
+    pages = G.merge_nodes(nodes_of(spark, sf), "node_key", ["kind"]).where(F.col("kind") == "page").select("id")
     return degrees(spark, sf).join(pages, "id", "left_semi").select("id", "weighted_indegree").orderBy(F.desc("weighted_indegree"), "id").limit(20)
 
 
@@ -104,40 +93,36 @@ def _priority() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation")), F.lit(1.0))
 
 
-def _page_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """id, rank of the pages: PageRank over all links from pages to pages, where n is all nodes."""
-    nodes, edges = _nodes(spark, sf), _edges(spark, sf)
-    pages = cut(G.merge_nodes(nodes, "node_key", ["kind"]).where(F.col("kind") == "page").select("id"), "pages")
-    links = edges.where(F.col("relation").isin(*PAGE_LINKS) & F.col("target").startswith("page:") & (F.col("source") != F.col("target")))
-    return cut(G.pagerank(nodes, links.join(pages.select(F.col("id").alias("source")), "source", "left_semi")).join(pages, "id", "left_semi"), "page-ranks")
-
+def best_edges(spark: SparkSession, sf: str, most: int, ranks: DataFrame) -> DataFrame:
+    """The best edges of each source by relation, weight, rank of the target and dates; other relations are left out.
 
-def _best_edges(spark: SparkSession, sf: str, most: int, ranks: DataFrame) -> DataFrame:
-    """ranks: id, rank of the pages; a target that is no page has rank 0."""
-    edges = G.merge_edges(_edges(spark, sf), "edge_id").where(F.col("source").isNotNull())
+    ranks: id, rank of the pages; a target that is no page has rank 0. A weight of null or 0 counts as 1.
+    """
+    edges = G.merge_edges(edges_of(spark, sf), "edge_id").where(F.col("relation").isin(*PRIORITY))
     ranked = edges.join(ranks.select(F.col("id").alias("target"), F.col("rank").alias("_rank")), "target", "left")
     dated = (F.col("relation") == "infobox_link") & F.coalesce("field", F.lit("")).isin(*DATE_FIELDS)
-    named = F.when(F.col("target").rlike(r"^(?:page:)?(?:\d{4}|\d{1,2} [a-z]+)\z"), 0.2).otherwise(1.0)
-    score = F.round(G.edge_score(_priority(), F.col("weight"), F.coalesce("_rank", F.lit(0.0)), dated) * named, 6)
+    named = F.regexp_replace("target", "^page:", "").rlike(r"^(?:\d{4}|\d{1,2} [a-z]+)\z")
+    weight = F.coalesce(F.nullif(F.col("weight"), F.lit(0.0)), F.lit(1.0))
+    score = F.round(G.edge_score(_priority(), weight, F.coalesce("_rank", F.lit(0.0)), dated, named), 6)
     return G.top_edges(ranked, score, most, ["target", "relation", F.coalesce("field", F.lit(""))])
 
 
 def top_edges_per_source(spark: SparkSession, sf: str) -> DataFrame:
-    return _best_edges(spark, sf, 3, _page_ranks(spark, sf)).select("source", "target", "relation", "score", "rn")
+    return best_edges(spark, sf, 3, page_ranks(spark, sf)).select("source", "target", "relation", "score", "rn")
 
 
 def one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours of the pages of primary type quest over their best two edges."""
-    seeds = _nodes(spark, sf).where(F.col("primary_type") == "quest").select("id")
-    ranks = _page_ranks(spark, sf)
-    best = cut(_best_edges(spark, sf, 2, ranks), "best")
+    """Neighbours of the pages of primary type quest over their best two edges, with their ranks."""
+    seeds = nodes_of(spark, sf).where(F.col("primary_type") == "quest").select("id")
+    ranks = page_ranks(spark, sf)
+    best = cut(best_edges(spark, sf, 2, ranks), "best")
     return G.expand(seeds, best, 2, ranks.select("id", F.round("rank", 9).alias("rank")))
 
 
 def recursive_reach(spark: SparkSession, sf: str) -> DataFrame:
     """How many nodes are within four steps of the pages of primary type quest over produces_item edges."""
-    seeds = _nodes(spark, sf).where(F.col("primary_type") == "quest").select("id")
-    return G.reach(seeds, _edges(spark, sf).where(F.col("relation") == "produces_item"), 4).groupBy("steps").agg(F.count(F.lit(1)).alias("n"))
+    seeds = nodes_of(spark, sf).where(F.col("primary_type") == "quest").select("id")
+    return G.reach(seeds, edges_of(spark, sf).where(F.col("relation") == "produces_item"), 4).groupBy("steps").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (temporal_filter, temporal_stats, temporal_sample, partial_dates, edge_dedupe, node_merge, degrees, edges_no_missing, endpoint_join, pagerank, pagerank_subgraph, top_nodes, top_edges_per_source, one_hop, recursive_reach)}
@@ -154,15 +139,11 @@ kinds AS (SELECT id, CASE WHEN bool_or(kind = 'page') THEN 'page' ELSE arg_max(k
 ends AS (SELECT target AS id, 1 AS i, weight, relation = 'wiki_link' AS link FROM merged UNION ALL SELECT source, 0, weight, relation = 'wiki_link' FROM merged),
 deg AS (SELECT n.id, count(i) FILTER (i = 1) AS indegree, count(i) FILTER (i = 0) AS outdegree, round(coalesce(sum(weight) FILTER (i = 1), 0), 3) AS weighted_indegree, round(coalesce(sum(weight) FILTER (i = 0), 0), 3) AS weighted_outdegree, count(i) FILTER (i = 1 AND link) AS link_indegree, count(i) FILTER (i = 0 AND link) AS link_outdegree FROM (SELECT DISTINCT id FROM nodes) n LEFT JOIN ends e ON n.id = e.id GROUP BY 1)
 """
-_RANK = lambda where: f"""WITH RECURSIVE nodes AS (SELECT DISTINCT {_N('id')} AS id FROM (SELECT id FROM page_nodes UNION ALL SELECT id FROM core_nodes)),
-e AS (SELECT source, target, sum(weight) AS w FROM (SELECT {_N('source')} AS source, {_N('target')} AS target, weight, relation FROM graph_edges) WHERE source <> target {where} AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes) GROUP BY 1, 2),
-s AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM e), c AS (SELECT count(*) AS n FROM nodes),
-r AS (SELECT 0 AS i, id, 1.0::DOUBLE / n AS rank FROM nodes, c UNION ALL
- SELECT i + 1, x.id, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) FROM (SELECT p.i, p.id, p.n, coalesce(sum(g.rank * s.share), 0) AS got, any_value(l.loose) AS loose FROM (SELECT r.i, r.id, c.n FROM r, c WHERE r.i < 10) p LEFT JOIN s ON s.target = p.id LEFT JOIN r g ON g.id = s.source, (SELECT coalesce(sum(rank), 0) AS loose FROM r WHERE id NOT IN (SELECT source FROM s)) l GROUP BY 1, 2, 3) x)
-SELECT id, round(rank, 9) AS rank FROM r WHERE i = 10"""
-_SQL_PRIORITY = {"produces_item": 5.0, "requires_material": 4.5, "requires_skill": 4.0, "infobox_link": 3.5, "lead_link": 3.0, "variant_location": 2.5, "equips_in_slot": 2.0, "uses_combat_style": 1.5, "has_action": 1.0, "in_category": 0.5, "wiki_link": 0.25}  # those of before; the SQL stays as it was
-_PRIO = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SQL_PRIORITY.items()) + " ELSE 1.0 END"
-_BEST = f", best AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target, relation, coalesce(field, '')) AS rn FROM (SELECT *, round({_PRIO} * weight * CASE WHEN field IN ('release', 'update') THEN 0.2 ELSE 1.0 END, 6) AS score FROM merged)) "
+_RANK = lambda where: f"SELECT id, round(rank, 9) AS rank FROM ({rank_sql(where)})"
+_PRIO = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " END"
+_DATED = f"CASE WHEN relation = 'infobox_link' AND field IN {DATE_FIELDS} THEN 0.2 ELSE 1.0 END * CASE WHEN regexp_full_match(regexp_replace(target, '^page:', ''), '\\d{{4}}|\\d{{1,2}} [a-z]+') THEN 0.2 ELSE 1.0 END"
+_BEST = f", pr AS (SELECT id AS target, rank FROM ({PAGE_RANKS})), best AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target, relation, coalesce(field, '')) AS rn FROM (SELECT *, round({_PRIO} * coalesce(nullif(weight, 0), 1) * (1 + ln(1 + coalesce(rank, 0) * 1e5)) * {_DATED}, 6) AS score FROM merged LEFT JOIN pr USING (target) WHERE relation IN {tuple(PRIORITY)})) "
+BEST_SQL = _GRAPH + _BEST
 ORACLE = {
     "temporal_filter": f"SELECT node_key, date_added, date_removed, reason, reason LIKE 'available%' AS kept FROM (SELECT *, {_REASON(False)} AS reason FROM page_nodes)",
     "temporal_stats": " UNION ALL ".join(f"SELECT reason, count(*) AS n, {lax} AS lax FROM (SELECT {_REASON(lax)} AS reason FROM page_nodes) GROUP BY 1" for lax in (False, True)),
@@ -177,6 +158,6 @@ ORACLE = {
     "pagerank_subgraph": _RANK("AND relation = 'wiki_link' AND source LIKE 'page:%'"),
     "top_nodes": _GRAPH + "SELECT deg.id, weighted_indegree FROM deg JOIN kinds k ON deg.id = k.id WHERE k.kind = 'page' ORDER BY 2 DESC, 1 LIMIT 20",
     "top_edges_per_source": _GRAPH + _BEST + "SELECT source, target, relation, score, rn FROM best WHERE rn <= 3",
-    "one_hop": _GRAPH + _BEST + ", b AS (SELECT * FROM best WHERE rn <= 2), r AS (SELECT target, CAST(count(*) AS DOUBLE) AS rank FROM b GROUP BY 1) SELECT b.source, b.target, b.relation, r.rank FROM b JOIN r ON b.target = r.target WHERE b.source IN (SELECT id FROM nodes WHERE primary_type = 'quest')",
+    "one_hop": _GRAPH + _BEST + "SELECT b.source, b.target, b.relation, coalesce(round(rank, 9), 0) AS rank FROM best b WHERE rn <= 2 AND b.source IN (SELECT id FROM nodes WHERE primary_type = 'quest')",
     "recursive_reach": f"WITH RECURSIVE nodes AS (SELECT {_N('id')} AS id, primary_type FROM (SELECT id, primary_type FROM page_nodes UNION ALL SELECT id, primary_type FROM core_nodes)), e AS (SELECT DISTINCT {_N('source')} AS source, {_N('target')} AS target FROM graph_edges WHERE relation = 'produces_item' AND target IS NOT NULL), r AS (SELECT DISTINCT id, 0 AS steps FROM nodes WHERE primary_type = 'quest' UNION SELECT e.target, steps + 1 FROM r JOIN e ON r.id = e.source WHERE steps < 4) SELECT steps, count(*) AS n FROM (SELECT id, min(steps) AS steps FROM r GROUP BY 1) GROUP BY 1",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import dates as D
@@ -10,6 +10,7 @@ from quern.functions import text as X
 from quern.operators import nested as N
 from quern.operators.temporal import available_at
 from quern.plans import graphs, searching
+from quern.plans.ranks import page_ranks
 from quern.runtime import cut, table
 
 CUTOFF = "2012-06-15"
@@ -137,14 +138,25 @@ def two_sums(spark: SparkSession, sf: str) -> DataFrame:
     return made.where(F.col("levels") >= 30)
 
 
-def search_context(spark: SparkSession, sf: str) -> DataFrame:
-    """For each question its two best pages with their best two neighbours, as text."""
-    best = cut(searching.search_topk(spark, sf).where(F.col("rn") <= 2), "hits")
-    titles = table(spark, sf, "page_nodes").where(F.col("pageid").isNotNull()).groupBy(F.col("pageid").alias("node")).agg(F.min_by("title", "node_key").alias("title"))
-    seeds = best.join(titles, "node").withColumn("id", F.concat(F.lit("page:"), X.normal_name(F.col("title"))))
-    near = graphs.top_edges_per_source(spark, sf).where(F.col("rn") <= 2).join(seeds.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
-    text = near.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "relation", "target"))), lambda e: F.concat_ws(" ", e["relation"], e["target"])), "; ").alias("near"))
-    return seeds.join(text, F.col("id") == F.col("source"), "left").select("query", "rn", "title", F.coalesce("near", F.lit("")).alias("near"))
+def search_context(spark: SparkSession, sf: str, k: int = 6, most: int = 14) -> DataFrame:
+    """What is given to read for each question: its pages and their neighbours, in order.
+
+    A question whose best page was found by name or phrase is focused: only that page is read, and the way goes on
+    from it alone; else all k pages are read and the way goes on from the first four. Of the neighbours over the best
+    edges of these the ``most`` with the highest rank are read, each once and none that was a start.
+    """
+    ranks = page_ranks(spark, sf)
+    hits = cut(searching.found(spark, sf, k), "hits")
+    focus = hits.where("rn = 1").select("query", F.col("strong").alias("focused"))
+    kept = hits.join(F.broadcast(focus), "query").where(~F.col("focused") | (F.col("rn") == 1))
+    seeds = kept.where(F.col("rn") <= 4).select("query", F.col("node").alias("source"))
+    best = graphs.best_edges(spark, sf, most, ranks).select("source", "target")
+    near = seeds.join(best, "source").join(ranks.select(F.col("id").alias("target"), "rank"), "target").select("query", F.col("target").alias("node"), "rank").distinct()
+    fresh = near.join(seeds.withColumnRenamed("source", "node"), ["query", "node"], "left_anti")
+    by_rank = Window.partitionBy("query").orderBy(F.desc(F.round("rank", 12)), "node")
+    around = fresh.withColumn("rn", F.row_number().over(by_rank)).where(F.col("rn") <= most)
+    pages = kept.select("query", F.lit("match").alias("part"), "rn", "node", "score", "focused")
+    return pages.unionByName(around.join(F.broadcast(focus), "query").select("query", F.lit("neighbour").alias("part"), "rn", "node", F.lit(None).cast("double").alias("score"), "focused"))
 
 
 QUERIES = {f.__name__: f for f in (record_types, record_aliases, record_actions, lifecycle, record_availability, equipment_bonuses, record_assembly, infobox_links, fact_alternatives, all_of_predicates, hunt_pipeline, visible_users, snapshot_text, two_sums, search_context)}
@@ -174,8 +186,6 @@ _PART = "json_extract(facts, '$.{}')".format
 _FIRST = lambda k: f"lower({_LIST(_PART('fields.' + k))}[1])"
 _TRI = lambda k: f"CASE WHEN {_FIRST(k)} IN ('yes', 'true', 'y') THEN true WHEN {_FIRST(k)} IN ('no', 'false', 'n') THEN false END AS {k}"
 _NUM = lambda c: f"(TRY_CAST(nullif(regexp_extract({c}, '^((?:19|20)\\d{{2}})', 1), '') AS INTEGER) * 10000 + 1231)"
-_HITS = searching.ORACLE["search_topk"]
-_EDGES = graphs.ORACLE["top_edges_per_source"]
 ORACLE = {
     "record_types": f"WITH {_TYPES} SELECT record_id, array_to_string(types, ',') AS types, {_PRIMARY} AS primary FROM typed",
     "record_aliases": "WITH x AS (SELECT node_key, title, list_concat(flatten(list_transform(list_filter(coalesce(aliases, []), lambda a: a IS NOT NULL), lambda a: string_split_regex(a, ',\\s*'))), [label]) AS aa FROM page_nodes), y AS (SELECT node_key, list_filter(list_transform(list_filter(aa, lambda a: lower(trim(replace(a, '_', ' '))) <> lower(trim(replace(coalesce(title, ''), '_', ' ')))), lambda a: trim(regexp_replace(replace(a, '_', ' '), '[\\s\\p{Z}]+', ' ', 'g'))), lambda a: a <> '') AS aa FROM x) SELECT node_key, array_to_string(list_filter(aa, lambda a, i: list_position(aa, a) = i), '|') AS aliases FROM y",
@@ -191,5 +201,8 @@ ORACLE = {
     "visible_users": "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1), i AS (SELECT DISTINCT user_id, event_id * 31 % 150 AS other FROM events WHERE event_type = 'error') SELECT a.user_id, count(b.user_id) AS visible FROM l a LEFT JOIN l b ON a.kind = b.kind AND a.user_id <> b.user_id AND NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = a.user_id AND i.other = b.user_id) GROUP BY 1",
     "snapshot_text": "SELECT user_id, 'user ' || user_id || ': ' || count(*) || ' events, last ' || arg_max(event_type, (ts, event_id)) || ', best ' || CAST(floor(max(value)) AS BIGINT) AS line FROM events GROUP BY 1",
     "two_sums": "SELECT user_id, CAST(sum(floor(value)) AS BIGINT) AS xp, CAST(sum(floor(value / 50)) AS BIGINT) AS levels FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING sum(floor(value / 50)) >= 30",
-    "search_context": f"WITH h AS (SELECT * FROM ({_HITS}) WHERE rn <= 2), t AS (SELECT pageid AS node, arg_min(title, node_key) AS title FROM page_nodes WHERE pageid IS NOT NULL GROUP BY 1), g AS (SELECT source, string_agg(relation || ' ' || target, '; ' ORDER BY rn) AS near FROM ({_EDGES}) WHERE rn <= 2 GROUP BY 1) SELECT query, rn, title, coalesce(near, '') AS near FROM h JOIN t USING (node) LEFT JOIN g ON g.source = 'page:' || {_N('title')}",
+    "search_context": f"""WITH h AS (SELECT * FROM ({searching.FOUND(6)})), fo AS (SELECT query, strong AS focused FROM h WHERE rn = 1), k AS (SELECT h.*, focused FROM h JOIN fo USING (query) WHERE NOT focused OR rn = 1), sd AS (SELECT query, node AS source FROM k WHERE rn <= 4),
+b AS (SELECT source, target, rank FROM ({graphs.BEST_SQL} SELECT source, target, rank FROM best WHERE rn <= 14) WHERE rank IS NOT NULL), n AS (SELECT DISTINCT query, target AS node, rank FROM sd JOIN b USING (source) WHERE NOT EXISTS (SELECT 1 FROM sd x WHERE x.query = sd.query AND x.source = target)),
+a AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rank, 12) DESC, node) AS rn FROM n)
+SELECT query, 'match' AS part, rn, node, score, focused FROM k UNION ALL SELECT query, 'neighbour', rn, node, NULL, focused FROM a JOIN fo USING (query) WHERE rn <= 14""",
 }

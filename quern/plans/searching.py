@@ -7,41 +7,81 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import search as S
-from quern.runtime import table
+from quern.operators.shredding import Group, assemble, shred
+from quern.plans.ranks import PAGE_RANKS, page_ranks
+from quern.runtime import cut, table
 
-ASKED = [("a", "the hammer of poxniknav"), ("b", "silver ring"), ("c", "burnt stew stew"), ("d", "no such thing"), ("e", "Anvil guard (2)"), ("f", "")]
+#: Recipes with only what a search looks at.
+RECIPES = (Group("recipes", (("facts", ("recipes",)),), ("tools", "facilities"), (
+    Group("skills", leaves=("name",), key="skills"), Group("materials", leaves=("item",), key="materials"), Group("outputs", leaves=("item",), key="outputs"),
+)),)
+
+ASKED = [("a", "the hammer of poxniknav"), ("b", "silver ring"), ("c", "burnt stew stew"), ("d", "no such thing"), ("e", "Anvil guard (2)"), ("f", ""), ("g", "where is cooking done with muddy fence"), ("h", "stew")]
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "page_nodes").groupBy(F.col("pageid").alias("node")).agg(F.min_by("title", "node_key").alias("title"), F.count(F.lit(1)).alias("n"), F.min_by("primary_type", "node_key").alias("primary_type")).where(F.col("node").isNotNull())
+    """One row per page: its first title and type, all its aliases and types, and the categories, fields and recipes of all
+    records of its name."""
+    nodes = table(spark, sf, "page_nodes").withColumn("node", X.normal_name(F.col("id")))
+    pages = nodes.groupBy("node").agg(F.min_by("title", "node_key").alias("title"), F.min_by("primary_type", "node_key").alias("primary_type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"), F.min("node_key").alias("at"))
+    records = table(spark, sf, "structured_records").where(F.col("title").isNotNull()).withColumn("node", X.page_id(F.col("title")))
+    fields = F.flatten(F.map_values(F.transform_values(F.from_json(F.get_json_object("facts", "$.fields"), "map<string,string>"), lambda k, v: F.coalesce(X.listed(v), F.array().cast("array<string>")))))
+    facts = records.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("taxonomy.categories")))).alias("categories"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(fields)))).alias("fields"))
+    made = assemble_recipes(records).groupBy("node").agg(F.collect_list("parts").alias("recipes"))
+    return pages.join(facts, "node", "left").join(made, "node", "left")
+
+
+def assemble_recipes(records: DataFrame) -> DataFrame:
+    """node, parts: the parts of each recipe of the records (node, record_id, facts), as array of struct<kind, name>."""
+    leaves = ["recipes.tools", "recipes.facilities", "recipes.skills.name", "recipes.materials.item", "recipes.outputs.item"]
+    shredded = shred(records.withColumn("key", F.concat_ws("\u0001", "node", "record_id")), "key", RECIPES, leaves)
+    tables = {"recipe": "recipes", "skills": "recipes.skills", "materials": "recipes.materials", "outputs": "recipes.outputs"}
+    flat = assemble(shredded, tables, {"recipe": ("tools", "facilities"), "skills": ("name",), "materials": ("item",), "outputs": ("item",)})
+    none = F.array().cast("array<string>")
+    plain = lambda kind: F.transform(F.coalesce(X.listed(F.col("attributes")[kind]), none), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    own = F.array(F.struct(F.col("child").alias("kind"), F.coalesce(F.col("attributes")["name"], F.col("attributes")["item"], F.lit("")).alias("name")))
+    parts = F.when(F.col("child") == "recipe", F.concat(plain("tools"), plain("facilities"))).otherwise(own)
+    at = F.when(F.col("child") == "recipe", F.col("child_ord")).otherwise(F.col("parent_ord"))
+    rows = flat.select("record_id", at.alias("at"), parts.alias("parts")).groupBy("record_id", "at").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    return rows.select(F.substring_index("record_id", "\u0001", 1).alias("node"), "parts")
 
 
-def _index(spark: SparkSession, sf: str) -> DataFrame:
-    """All parts of the reference that a table has: aliases and types of all nodes of a page, categories and fields of
-    all its records. No table has leads."""
-    nodes = table(spark, sf, "page_nodes").groupBy(F.col("pageid").alias("node")).agg(F.flatten(F.collect_set("aliases")).alias("aliases"), F.flatten(F.collect_set("types")).alias("types"))
-    fields = F.from_json(F.get_json_object("facts", "$.fields"), "map<string,array<string>>")
-    records = table(spark, sf, "structured_records").where(F.col("pageid").isNotNull()).groupBy(F.col("pageid").alias("node")).agg(F.flatten(F.collect_set("taxonomy.categories")).alias("categories"), F.flatten(F.flatten(F.collect_set(F.map_values(fields)))).alias("fields"))
-    rows = _pages(spark, sf).join(nodes, "node").join(records, "node", "left")
-    none = F.array().cast("array<string>")
-    text = lambda c: F.array_join(F.coalesce(c, none), " ")
-    parts = {"title": F.col("title"), "alias": text("aliases"), "primary_type": F.col("primary_type"), "types": text("types"), "category": text("categories"), "field": text("fields")}
-    return S.postings(rows, "node", parts)
+def _index(pages: DataFrame) -> DataFrame:
+    """All parts that the tables have; none has leads."""
+    text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    return S.postings(pages, "node", {"title": F.col("title"), "alias": text("aliases"), "primary_type": F.col("primary_type"), "types": text("types"), "category": text("categories"), "field": text("fields")})
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf)
+    return _index(_pages(spark, sf))
 
 
-def search_topk(spark: SparkSession, sf: str) -> DataFrame:
+def title_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every name that leads to a page, and the page."""
+    return S.title_index(_pages(spark, sf))
+
+
+def resolve_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages that the requested titles of fetches lead to."""
+    return S.resolve(table(spark, sf, "raw_pages").select("raw_id", "requested_title"), "requested_title", S.title_index(_pages(spark, sf))).select("raw_id", "node")
+
+
+def found(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The k best pages of each question; pages, index and names are written once and read from there."""
+    pages = cut(_pages(spark, sf).join(page_ranks(spark, sf).select(F.col("id").alias("node"), "rank"), "node", "left"), "search-pages")
     queries = spark.createDataFrame(ASKED, "query string, text string")
-    pages = _pages(spark, sf).select("node", "title", (F.col("n") / 100_000).alias("rank"))
-    return S.search(queries, _index(spark, sf), pages, 5)
+    return S.search(queries, cut(_index(pages), "postings"), cut(S.title_index(pages), "names"), pages, k)
+
+
+def search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, 5)
 
 
-def term_match(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pages(spark, sf).select("node", S.half_matched(F.lit("silver hammer"), F.col("title")).alias("score"))
-    return rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+def recipe_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of the best recipe of each page that has any for a question."""
+    words, said = X.tokens(F.lit(ASKED[6][1])), X.phrase(F.lit(ASKED[6][1]))
+    made = _pages(spark, sf).select("node", S.recipe_score(F.col("recipes"), words, said).alias("score"))
+    return made.where(F.col("score") > 0)
 
 
 def response_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,19 +146,43 @@ def regex_first(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy("pattern").agg(F.min("node_key").alias("node_key"), F.min_by("label", "node_key").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (postings, search_topk, term_match, response_score, title_normalize, clip, link_extract, token_counts, tri_state, unique_strings, entity_decode, article_links, types_by_priority, number_parse, regex_first)}
+QUERIES = {f.__name__: f for f in (postings, title_names, resolve_titles, search_topk, recipe_best, response_score, title_normalize, clip, link_extract, token_counts, tri_state, unique_strings, entity_decode, article_links, types_by_priority, number_parse, regex_first)}
 
 _TOK = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9][a-z0-9''+_\\-]*'), lambda t: length(t) > 1)"
-_PAGES = "pages AS (SELECT pageid AS node, arg_min(title, node_key) AS title, arg_min(primary_type, node_key) AS primary_type, count(*) AS n FROM page_nodes WHERE pageid IS NOT NULL GROUP BY 1)"
-_POST = f"{_PAGES}, post AS (SELECT token, node, sum(weight) AS weight FROM (SELECT DISTINCT unnest({_TOK('title')}) AS token, node, 12.0::DOUBLE AS weight, 1 AS p FROM pages UNION ALL SELECT DISTINCT unnest({_TOK('primary_type')}), node, 4.0::DOUBLE, 2 FROM pages) GROUP BY 1, 2)"
+_N = r"lower(trim(regexp_replace(replace({}, '_', ' '), '[\s\p{{Z}}]+', ' ', 'g')))".format
+_PH = lambda c: f"trim(regexp_replace({_N("coalesce(" + c + ", '')")}, '[^a-z0-9]+', ' ', 'g'))"
+_ALL = lambda c: f"list_sort(list_distinct(flatten(list({c}))))"
+_ENT = "(CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'OBJECT' THEN CASE WHEN len(json_keys({0})) = 0 THEN [] WHEN len(list_filter(json_keys({0}), lambda k: NOT regexp_matches(k, '^[0-9]+$'))) = 0 THEN list_transform(json_keys({0}), lambda k: json_extract({0}, '$.\"' || k || '\"')) ELSE [{0}] END ELSE [] END)".format
+_UNQ = "(CASE WHEN json_type({0}) = 'VARCHAR' THEN TRY_CAST(json_extract_string({0}, '$') AS JSON) ELSE {0} END)".format
+_KIND = lambda kind, leaf: f"SELECT rec, pos, '{kind}' AS kind, {leaf} AS name FROM (SELECT rec, pos, unnest({_ENT('j')}) AS e FROM (SELECT rec, pos, {_UNQ("json_extract(r, '$." + kind + "')")} AS j FROM recipes))"
+_PAGES = f"""nodes_ AS (SELECT {_N('id')} AS node, * EXCLUDE (id) FROM page_nodes),
+base_pages AS (SELECT node, arg_min(title, node_key) AS title, arg_min(primary_type, node_key) AS primary_type, {_ALL('aliases')} AS aliases, {_ALL('types')} AS types, min(node_key) AS pos FROM nodes_ GROUP BY 1),
+recs AS (SELECT 'page:' || {_N('title')} AS node, record_id AS rec, taxonomy.categories AS cats, facts FROM structured_records WHERE title IS NOT NULL),
+rec_cats AS (SELECT node, {_ALL('cats')} AS categories FROM recs GROUP BY 1),
+rec_fields AS (SELECT node, {_ALL('vs')} AS fields FROM (SELECT node, CAST(json_extract(facts, '$.fields.\"' || k || '\"') AS VARCHAR[]) AS vs FROM (SELECT node, facts, unnest(json_keys(facts, '$.fields')) AS k FROM recs)) GROUP BY 1),
+recipes AS (SELECT rec, ord AS pos, r FROM (SELECT rec, unnest(es) AS r, generate_subscripts(es, 1) AS ord FROM (SELECT rec, {_ENT('j')} AS es FROM (SELECT rec, {_UNQ("json_extract(facts, '$.recipes')")} AS j FROM recs))) WHERE json_type(r) = 'OBJECT' AND len(json_keys(r)) > 0),
+recipe_parts AS ({_KIND('tools', "json_extract_string(e, '$')")} UNION ALL {_KIND('facilities', "json_extract_string(e, '$')")} UNION ALL {_KIND('skills', "json_extract_string(e, '$.name')")} UNION ALL {_KIND('materials', "json_extract_string(e, '$.item')")} UNION ALL {_KIND('outputs', "json_extract_string(e, '$.item')")}),
+pages AS (SELECT * FROM base_pages LEFT JOIN rec_cats USING (node) LEFT JOIN rec_fields USING (node))"""
+_JOINED = "array_to_string(coalesce({}, []), ' ')".format
+_POST = f"""{_PAGES}, post AS (SELECT token, node, sum(weight) AS weight FROM ({' UNION ALL '.join(f"SELECT unnest({_TOK(text)}) AS token, node, {w}::DOUBLE AS weight FROM pages" for text, w in (('title', 12.0), (_JOINED('aliases'), 10.0), ('primary_type', 4.0), (_JOINED('types'), 4.0), (_JOINED('categories'), 3.0), (_JOINED('fields'), 2.0)))}) GROUP BY 1, 2)"""
+_NAMES = f"""names AS (SELECT name, arg_max(node, (pos, node)) AS node FROM (SELECT node, pos, {_N('x')} AS name FROM (SELECT node, pos, unnest(list_concat([title], coalesce(aliases, []))) AS x FROM pages) UNION ALL SELECT node, pos, {_PH('x')} FROM (SELECT node, pos, unnest(list_concat([title], coalesce(aliases, []))) AS x FROM pages)) WHERE name <> '' GROUP BY 1)"""
 _ASKED = ", ".join(f"('{q}', '{t}')" for q, t in ASKED)
+_SCORED = f"""q AS (SELECT query, text, {_N('text')} AS asked, {_PH('text')} AS said, {_TOK('text')} AS words FROM (VALUES {_ASKED}) v(query, text)),
+part_points AS (SELECT query, rec, pos, CASE WHEN len(ws) = 0 THEN 0.0 WHEN length(ph) >= 4 AND contains(said, ph) THEN CASE kind WHEN 'outputs' THEN 40.0 ELSE 80.0 END WHEN len(list_intersect(ws, words)) = len(ws) THEN CASE kind WHEN 'outputs' THEN 25.0 ELSE 45.0 END WHEN len(list_intersect(ws, words)) > 0 AND len(list_intersect(ws, words)) * 2 >= len(ws) THEN 15.0 ELSE 0.0 END AS p
+  FROM (SELECT *, list_distinct({_TOK('name')}) AS ws, {_PH('name')} AS ph FROM recipe_parts), q),
+recipe_points AS (SELECT query, node, max(p) AS p FROM (SELECT query, rec, pos, sum(p) AS p FROM part_points GROUP BY 1, 2, 3) JOIN (SELECT DISTINCT rec, node FROM recs) USING (rec) GROUP BY 1, 2)"""
+FOUND = lambda k: f"""WITH {_POST}, {_NAMES}, {_SCORED},
+h AS (SELECT query, node, sum(weight) AS base FROM (SELECT query, unnest(words) AS token FROM q) JOIN post USING (token) GROUP BY 1, 2), ex AS (SELECT query, node FROM q JOIN names ON name = asked),
+o AS (SELECT query, node, CASE WHEN asked <> '' AND contains({_N('title')}, asked) THEN 25 ELSE 0 END AS i, list_filter(list_transform(list_concat([title], coalesce(aliases, [])), lambda x: {_PH('x')}), lambda p: length(p) >= 4 AND contains(said, p))[1] AS f, CASE WHEN NOT list_contains(words, 'burnt') AND (contains({_PH('title')}, 'burnt') OR len(list_filter(coalesce(categories, []), lambda c: {_PH('c')} = 'burnt food')) > 0) THEN -90 ELSE 0 END AS b FROM pages, q),
+s AS (SELECT query, node, round(coalesce(base, 0) + CASE WHEN ex.node IS NOT NULL THEN 100 ELSE 0 END + i + CASE WHEN contains(f, ' ') THEN 250 WHEN f IS NOT NULL THEN 40 ELSE 0 END + coalesce(p, 0) + b + 2 * ln(1 + coalesce(rank, 0) * 1e5), 6) AS score, ex.node IS NOT NULL OR f IS NOT NULL AS strong
+  FROM o LEFT JOIN h USING (query, node) LEFT JOIN ex USING (query, node) LEFT JOIN recipe_points USING (query, node) LEFT JOIN ({PAGE_RANKS}) pr ON pr.id = node WHERE base IS NOT NULL OR ex.node IS NOT NULL OR i > 0 OR f IS NOT NULL OR coalesce(p, 0) > 0 OR b < 0)
+SELECT * FROM (SELECT query, node, score, strong, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rn FROM s) WHERE rn <= {k}"""
 ORACLE = {
     "postings": f"WITH {_POST} SELECT * FROM post",
-    "search_topk": f"""WITH {_POST}, q AS (SELECT * FROM (VALUES {_ASKED}) v(query, text)), w AS (SELECT query, array_to_string({_TOK('text')}, ' ') AS asked, unnest({_TOK('text')}) AS token FROM q),
-h AS (SELECT query, asked, node, sum(weight) AS base FROM w JOIN post USING (token) GROUP BY 1, 2, 3), t AS (SELECT node, array_to_string({_TOK('title')}, ' ') AS title, n / 100000.0::DOUBLE AS rank FROM pages),
-s AS (SELECT query, h.node, round(base + CASE WHEN title = asked THEN 100 ELSE 0 END + CASE WHEN asked <> '' AND contains(title, asked) THEN 25 ELSE 0 END + CASE WHEN title <> '' AND contains(' ' || asked || ' ', ' ' || title || ' ') THEN CASE WHEN contains(title, ' ') THEN 250 ELSE 40 END ELSE 0 END + 2 * ln(1 + rank * 1e5), 6) AS score FROM h JOIN t ON h.node = t.node)
-SELECT query, node, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rn FROM s) WHERE rn <= 5""",
-    "term_match": f"WITH {_PAGES}, x AS (SELECT node, list_distinct({_TOK('title')}) AS h, array_to_string({_TOK('title')}, ' ') AS p FROM pages), y AS (SELECT CASE WHEN contains(p, 'silver hammer') THEN 80 WHEN len(list_intersect(h, ['silver', 'hammer'])) = 2 THEN 45 WHEN len(list_intersect(h, ['silver', 'hammer'])) = 1 THEN 15 ELSE 0 END AS score FROM x) SELECT score, count(*) AS n FROM y GROUP BY 1",
+    "title_names": f"WITH {_PAGES}, {_NAMES} SELECT * FROM names",
+    "resolve_titles": f"WITH {_PAGES}, {_NAMES} SELECT raw_id, node FROM raw_pages LEFT JOIN names ON name = {_N('requested_title')}",
+    "search_topk": FOUND(5),
+    "recipe_best": f"WITH {_PAGES}, {_SCORED} SELECT node, p AS score FROM recipe_points SEMI JOIN pages USING (node) WHERE query = 'g' AND p > 0",
     "response_score": "WITH x AS (SELECT doc_id, contains(lower(text), 'level')::INT + contains(lower(text), 'tower')::INT + contains(lower(text), 'hammer')::INT AS hits, contains(lower(text), 'guide')::INT + contains(lower(text), '|-')::INT AS bad FROM documents) SELECT doc_id, hits, bad, hits - 2 * bad AS score FROM x",
     "title_normalize": r"SELECT raw_id, lower(trim(replace(title, '_', ' '))) AS title_form, lower(trim(regexp_replace(replace(title, '_', ' '), '[\s\p{Z}]+', ' ', 'g'))) AS normal_name, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'section') AS slug, trim(regexp_replace(lower(trim(regexp_replace(replace(title, '_', ' '), '[\s\p{Z}]+', ' ', 'g'))), '\d+$', '')) AS base_field FROM raw_pages",
     "clip": "WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\\x{85}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(substring(t, 1, 57), ' ') || '...' ELSE t END AS clipped FROM x",

@@ -43,15 +43,19 @@ def test_best_edges_count_the_rank_of_the_target_and_dates(spark, tmp_path):
     graph(spark, tmp_path, ["page:s", "page:a", "page:z", "page:q"], [link("s", "a"), link("s", "z"), link("a", "z"), link("q", "z"), info("page:2004", None), info("page:x", "removal"), ("page:q", "action:dig", "has_action", None, 2.0)])
     rank = {"page:a": 0.1, "page:z": 0.4}
     ranks = spark.createDataFrame(list(rank.items()), "id string, rank double")
-    got = {(r.source, r.target): (r.rn, r.score) for r in graphs._best_edges(spark, str(tmp_path), 9, ranks).collect()}
+    got = {(r.source, r.target): (r.rn, r.score) for r in graphs.best_edges(spark, str(tmp_path), 9, ranks).collect()}
     assert got["page:s", "page:z"][0] < got["page:s", "page:a"][0]
     assert got["page:s", "page:z"][1] == round(1 + math.log1p(rank["page:z"] * 1e5), 6)
     assert got["page:s", "page:2004"][1] == got["page:s", "page:x"][1] == 4.0 and got["page:q", "action:dig"][1] == 6.0
 
 
 def test_postings_weigh_aliases_types_categories_and_fields(spark, tmp_path):
-    columns = "node_key bigint, pageid bigint, title string, primary_type string, aliases array<string>, types array<string>"
-    write(spark, tmp_path, "page_nodes", [(1, 7, "Red Hat", "item", ["Cap"], ["item", "cloth"]), (2, 7, "Red Hat", "item", ["Beret", None], None), (3, 8, "Plain", None, None, None)], columns)
-    write(spark, tmp_path, "structured_records", [(7, (["Felt things"],), '{"fields": {"release": ["2004", "soon"]}}'), (7, (None,), None)], "pageid bigint, taxonomy struct<categories:array<string>>, facts string")
+    columns = "node_key bigint, id string, title string, primary_type string, aliases array<string>, types array<string>"
+    write(spark, tmp_path, "page_nodes", [(1, "page:Red_Hat", "Red Hat", "item", ["Cap"], ["item", "cloth"]), (2, "page:red hat", "Red Hat", "item", ["Beret", None], None), (3, "page:plain", "Plain", None, None, None)], columns)
+    facts = '{"fields": {"release": ["2004", "soon"], "aka": "the red"}, "recipes": [{"tools": ["Needle"]}]}'
+    write(spark, tmp_path, "structured_records", [(1, "Red hat", (["Felt things"],), facts), (2, "red_hat", (None,), None), (3, None, (["x"],), "{}")], "record_id bigint, title string, taxonomy struct<categories:array<string>>, facts string")
     got = {(r.node, r.token): r.weight for r in searching.postings(spark, str(tmp_path)).collect()}
-    assert got == {(7, "red"): 12.0, (7, "hat"): 12.0, (7, "cap"): 10.0, (7, "beret"): 10.0, (7, "item"): 8.0, (7, "cloth"): 4.0, (7, "felt"): 3.0, (7, "things"): 3.0, (7, "2004"): 2.0, (7, "soon"): 2.0, (8, "plain"): 12.0}
+    red = {"red": 14.0, "hat": 12.0, "cap": 10.0, "beret": 10.0, "item": 8.0, "cloth": 4.0, "felt": 3.0, "things": 3.0, "2004": 2.0, "soon": 2.0, "the": 2.0}
+    assert got == {**{("page:red hat", k): v for k, v in red.items()}, ("page:plain", "plain"): 12.0}
+    pages = {r.node: r for r in searching._pages(spark, str(tmp_path)).collect()}
+    assert [[tuple(x) for x in parts] for parts in pages["page:red hat"].recipes] == [[("tools", "Needle")]] and pages["page:plain"].recipes is None
