@@ -5,7 +5,7 @@
    phrases, common words, letters, word lengths. Only counts leave this step.
 3. ``sketch`` counts the values of each statistic per language in buckets of constant relative width. Bucket counts
    merge by addition in any order. Passages are weighted by the common *and* uncommon words that they hold side by
-   side (the smaller number, squared), as running text does and lists, tables, codes and strings of function words
+   side (the smaller number, squared, times a hundred, and one), as running text does and lists, tables, codes and strings of function words
    do not. So the centre of a language stays in its running text even if nearly all of its documents are junk.
 4. ``scales`` reads medians and median absolute deviations from the buckets; ``passage_scores`` turns every value
    into a robust z-score of its language, with the sampling error of short passages in the denominator.
@@ -22,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -331,21 +332,24 @@ def passage_sketch(docs: DataFrame) -> DataFrame:
         "words": k, "flow": k / F.col("phrases"), "common": F.col("common") / k, "signs": F.greatest(F.lit(0), 1 - F.col("letters") / F.greatest(F.col("signs"), F.lit(1))),
         "length": mean, "spread": F.greatest(F.lit(0), F.col("squares") / k - mean * mean),
     }
-    return sketch(rows, values, 1 + F.col("both") * F.col("both"))
+    return sketch(rows, values, 1 + 100 * F.col("both") * F.col("both"))
 
 
-def passage_scores(p: Column, at: dict[str, Column], dev: dict[str, Column]) -> dict[str, Column]:
-    """z-scores of one passage. Shares and means of few words vary by chance; that variance adds to the scale's."""
-    k = F.greatest(p["words"], F.lit(1)).cast("double")
-    z = lambda value, s, chance: (value - at[s]) / F.sqrt(dev[s] * dev[s] + chance)
-    log = lambda x: F.log(x)
-    signs = F.greatest(F.lit(0.0), 1 - p["letters"] / F.greatest(p["signs"], F.lit(1)))
-    none = F.lit(0.0)
+#: The least deviations by which passages are scored.
+LEAST_PASSAGE_DEVIATION = {"words": 0.05, "flow": 0.05, "common": 0.02, "signs": 0.005, "length": 0.05, "spread": 0.0}
+
+
+def passage_scores(p: dict[str, np.ndarray], at: dict[str, np.ndarray], dev: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """z-scores of passages from their counts and the scales of their languages, all arrays of one length.
+
+    Shares and means of few words vary by chance; that variance adds to the scale's.
+    """
+    k = np.maximum(p["words"], 1).astype(float)
+    signs = np.maximum(0.0, 1 - p["letters"] / np.maximum(p["signs"], 1))
+    z = lambda value, s, chance=0.0: (value - at[s]) / np.sqrt(dev[s] ** 2 + chance)
     return {
-        "words": z(log(k), "words", none), "flow": z(log(k / p["phrases"]), "flow", none),
-        "common": z(p["common"] / k, "common", at["common"] * (1 - at["common"]) / k),
-        "letters": (at["signs"] - signs) / F.sqrt(dev["signs"] * dev["signs"] + at["signs"] * (1 - at["signs"]) / p["chars"]),
-        "length": z(p["length"] / k, "length", at["spread"] / k),
+        "words": z(np.log(k), "words"), "flow": z(np.log(k / p["phrases"]), "flow"), "common": z(p["common"] / k, "common", at["common"] * (1 - at["common"]) / k),
+        "letters": -z(signs, "signs", at["signs"] * (1 - at["signs"]) / p["chars"]), "length": z(p["length"] / k, "length", at["spread"] / k),
     }
 
 
@@ -355,24 +359,33 @@ def running_shares(docs: DataFrame, scale: DataFrame, one: float = 3.0, several:
     A passage is not running text if it repeats an earlier one, has no words, lies below -``one`` in words, words per
     phrase, share of common words or share of letters, or below -``several`` in a sum of z-scores over the root of
     their number: of those four where they are negative, or of short words with many common ones among them, as in
-    function words strung together. Texts without characters have null shares.
+    function words strung together. Texts without characters have null shares. Scales are joined by language; the
+    scores are arrays over all passages of a batch.
     """
     packed = _per_language(scale.drop("cumulative").withColumn("cumulative", F.lit(0)), "passage-scales")
-    joined = docs.join(packed, "lang", "left")
-    least = {"words": 0.05, "flow": 0.05, "common": 0.02, "signs": 0.005, "length": 0.05, "spread": 0.0}
-    of = {s: F.try_element_at("_s", F.lit(s)) for s in PASSAGE_STATISTICS}
-    logged = lambda s: F.log(F.greatest(of[s]["median"], F.lit(LEAST))) if s in PASSAGE_RATIOS else of[s]["median"]
-    flat = joined.select("doc_id", "lang", "n_chars", "passages", *[logged(s).alias(f"_at_{s}") for s in PASSAGE_STATISTICS], *[F.greatest(of[s]["mad"] * 1.4826, F.lit(least[s])).alias(f"_dev_{s}") for s in PASSAGE_STATISTICS])
-    at, dev = ({s: F.col(f"_{x}_{s}") for s in PASSAGE_STATISTICS} for x in ("at", "dev"))
-
-    def running(p: Column) -> Column:
-        z = passage_scores(p, at, dev)
-        low = [z["words"], z["flow"], z["common"], z["letters"]]
-        single = F.least(*low) >= -one
-        summed = sum((F.least(x, F.lit(0.0)) for x in low[1:]), F.least(low[0], F.lit(0.0))) / 2 >= -several
-        order = (z["length"] - z["common"]) / math.sqrt(2) >= -several
-        return (p["again"] == 0) & (p["words"] > 0) & single & summed & order
-
-    total = lambda keep: F.aggregate(F.filter("passages", keep), F.lit(0).cast("bigint"), lambda a, p: a + p["chars"])
-    share = lambda keep: F.when(F.col("n_chars") > 0, F.least(F.lit(1.0), total(keep) / F.col("n_chars")))
-    return flat.select("doc_id", "lang", "n_chars", share(running).alias("running_share"), share(lambda p: p["again"] == 1).alias("repeated_share"))
+    of = {s: F.try_element_at(F.col("_s"), F.lit(s)) for s in PASSAGE_STATISTICS}
+    centre = lambda s: F.log(F.greatest(of[s]["median"], F.lit(LEAST))) if s in PASSAGE_RATIOS else of[s]["median"]
+    bounds = [F.coalesce(centre(s), F.lit(0.0)).alias(f"at_{s}") for s in PASSAGE_STATISTICS]
+    bounds += [F.greatest(of[s]["mad"] * 1.4826, F.lit(LEAST_PASSAGE_DEVIATION[s])).alias(f"dev_{s}") for s in PASSAGE_STATISTICS]
+    joined = docs.join(packed, "lang", "left").select("doc_id", "lang", "n_chars", "passages", *bounds)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("running_share", T.DoubleType()), T.StructField("repeated_share", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("passages")
+            flat = lists.flatten()
+            p = {c: flat.field(c).to_numpy() for c in COUNTS}
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at, dev = ({s: batch.column(f"{x}_{s}").to_numpy(zero_copy_only=False)[row] for s in PASSAGE_STATISTICS} for x in ("at", "dev"))
+            z = passage_scores(p, at, dev)
+            low = np.stack([z["words"], z["flow"], z["common"], z["letters"]])
+            keep = (p["again"] == 0) & (p["words"] > 0) & (low.min(axis=0, initial=np.inf) >= -one) & (np.minimum(low, 0).sum(axis=0) / 2 >= -several) & ((z["length"] - z["common"]) / math.sqrt(2) >= -several)
+            chars = batch.column("n_chars").to_numpy(zero_copy_only=False)
+
+            def share(there: np.ndarray, p: dict = p, row: np.ndarray = row, chars: np.ndarray = chars) -> pa.Array:
+                found = np.bincount(row, p["chars"] * there, len(chars)) / np.maximum(chars, 1)
+                return pa.array(np.minimum(found, 1.0), mask=chars == 0)
+
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "n_chars")), share(keep), share(p["again"] == 1)], names=[f.name for f in schema.fields])
+
+    return joined.mapInArrow(run, schema)
