@@ -37,10 +37,10 @@ def state_delta(before: DataFrame, after: DataFrame, key: list[str], amount: str
     return joined.select(*[F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in key], change.alias("change"))
 
 
-def metrics(runs: DataFrame, by: list[str], success: Column, measures: list[str]) -> DataFrame:
-    """Runs, successes, rate and means per group; a missing measure counts as 0 in its mean."""
+def metrics(runs: DataFrame, by: list[str], success: Column, measures: list[str], sums: list[str] = ()) -> DataFrame:
+    """Runs, successes, failures, rate, means and sums per group; a missing measure counts as 0 in its mean and sum."""
     means = [F.avg(F.coalesce(F.col(m), F.lit(0.0))).alias(f"avg_{m}") for m in measures]
-    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.count_if(success).alias("successes"), *means).withColumn("rate", F.col("successes") / F.col("runs"))
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.count_if(success).alias("successes"), F.count_if(~F.coalesce(success, F.lit(False))).alias("failures"), *means, *[F.sum(F.coalesce(F.col(m), F.lit(0))).alias(f"sum_{m}") for m in sums]).withColumn("rate", F.col("successes") / F.col("runs"))
 
 
 def verify(states: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -111,3 +111,44 @@ def replay(logged: DataFrame, key: str, order: list[str], value: str, check: Col
     at = F.struct(*order)
     ends = logged.groupBy(key).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"), F.count(F.lit(1)).alias("steps"))
     return ends.withColumn("verdict", F.coalesce(check, F.lit(False)))
+
+
+def champions(gains: DataFrame, field: str, who: str, points: str, order: str, slots: int) -> DataFrame:
+    """field, who, points: in each field the contributor with the most points; gains below 1 do not count.
+
+    Only the first ``slots`` contributors of a field, by their first gain, have a place; ties go to the earlier one.
+    Gains are summed per contributor with partial sums, and the window keeps ``slots`` rows per field and task.
+    """
+    summed = gains.where(F.col(points) >= 1).groupBy(field, who).agg(F.sum(points).alias("points"), F.min(order).alias("_first"))
+    place = Window.partitionBy(field).orderBy("_first", who)
+    placed = summed.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= slots)
+    best = F.max_by(F.struct(who, "points"), F.struct("points", -F.col("_place")))
+    return placed.groupBy(field).agg(best.alias("_b")).select(field, f"_b.{who}", "_b.points")
+
+
+def observe_places(sightings: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """The distinct places of each key, sorted, as array of struct; as large as the places and not as the sightings."""
+    return sightings.select(*key, *place).distinct().groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*place))).alias("places"))
+
+
+def check_column(kind: str, spec: dict) -> Column:
+    """One check of a state (inventory, gained: maps of counts; xp: map of gains; levels: map; x, z, level; open: map of
+    screens; messages: array), by its kind. Missing entries count as 0 or closed; an unknown kind is an error."""
+    held = lambda of, k: F.coalesce(F.try_element_at(F.col(of), F.lit(k)), F.lit(0))
+    if kind in ("inventory_contains", "inventory_lacks"):
+        return held("inventory", spec["item"]) >= spec.get("count", 1) if kind == "inventory_contains" else held("inventory", spec["item"]) == 0
+    if kind == "inventory_gained":
+        hits = F.map_values(F.map_filter("gained", lambda k, v: k.rlike(f"(?i){spec['item']}")))
+        return F.aggregate(F.coalesce(hits, F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x) >= spec.get("count", 1)
+    if kind == "xp_gained":
+        return held("xp", spec["skill"]) >= spec.get("min", 1)
+    if kind == "level_at_least":
+        return held("levels", spec["skill"]) >= spec["level"]
+    if kind == "position_within":
+        near = F.greatest(F.abs(F.col("x") - spec["x"]), F.abs(F.col("z") - spec["z"])) <= spec["tolerance"]
+        return near & (F.col("level") == spec["level"]) if "level" in spec else near
+    if kind == "ui_open":
+        return F.coalesce(F.try_element_at(F.col("open"), F.lit(spec["ui"])), F.lit(False))
+    if kind == "message_matches":
+        return F.exists(F.coalesce("messages", F.array().cast("array<string>")), lambda m: m.rlike(f"(?i){spec['pattern']}"))
+    raise ValueError(f"no check of kind {kind}")

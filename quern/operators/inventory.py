@@ -72,3 +72,15 @@ def apply_log(log: DataFrame, owner: str, order: str, capacity: int) -> DataFram
 
     placed = log.where(F.col(owner).isNotNull()).repartition(F.col(owner)).sortWithinPartitions(owner, order)
     return placed.mapInPandas(run, f"{owner} {owner_type}, slot int, item bigint, amount bigint")
+
+
+def slot_contents(queries: DataFrame, inventory: DataFrame, owner: str) -> DataFrame:
+    """queries (owner, slot) with item (-1 if empty) and amount (0 if empty) of the slot."""
+    have = inventory.select(F.col(owner).alias("_owner"), F.col("slot").alias("_slot"), F.col("item").alias("_item"), F.col("amount").alias("_amount"))
+    joined = queries.join(have, (F.col(owner) == F.col("_owner")) & (F.col("slot") == F.col("_slot")), "left")
+    return joined.withColumn("item", F.coalesce("_item", F.lit(-1))).withColumn("amount", F.coalesce("_amount", F.lit(0))).drop("_owner", "_slot", "_item", "_amount")
+
+
+def stock_base(stock: Column, item: Column) -> Column:
+    """The stock of an item in a shop, a map of items to counts: -1 where the shop has no stock list or not the item."""
+    return F.coalesce(F.try_element_at(stock, item), F.lit(-1))

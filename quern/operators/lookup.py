@@ -9,9 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.relational import position
+
 #: What a field of each type holds where nothing is given.
 TYPE_DEFAULTS = {"string": "", "boolean": 0, "int": -1}
 
@@ -30,8 +32,8 @@ def list_all(rows: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Cursor positions; a found set is what one lookup returns, so it is numbered in one window per table."""
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("table_id").orderBy(*order)) - 1)
+    """Cursor positions from 0 in the order of the columns, by range partitions: a found set may be a whole table."""
+    return position(rows, [(c, False) for c in order], "ord").withColumn("ord", F.col("ord") - 1)
 
 
 def find(rows: DataFrame, spec: TableSpec, column: str, value: Any, at: int = 0) -> DataFrame:
@@ -48,7 +50,7 @@ def find(rows: DataFrame, spec: TableSpec, column: str, value: Any, at: int = 0)
 def refine(found: DataFrame, again: DataFrame) -> DataFrame:
     """The found rows that a second lookup finds too, in their order; repeated rows stay."""
     kept = found.join(again.select("table_id", "row_id").distinct(), ["table_id", "row_id"], "left_semi")
-    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("table_id").orderBy("ord")) - 1)
+    return _numbered(kept.withColumnRenamed("ord", "_was"), ["_was"]).drop("_was")
 
 
 def get_field(spec: TableSpec, column: str, index: Column, at: int = 0) -> Column:
@@ -64,6 +66,16 @@ def field_count(spec: TableSpec, column: str) -> Column:
     return F.when(F.col("table_id") == spec.table_id, F.coalesce(F.size(F.col(column)), F.lit(0))).otherwise(0)
 
 
+def count_of(found: DataFrame) -> DataFrame:
+    """The number of rows found, as one row: what a counting lookup gives beside its rows."""
+    return found.agg(F.count(F.lit(1)).alias("found"))
+
+
+def enum_count(entries: dict) -> int:
+    """The number of entries of a typed map; its default is none of them."""
+    return len(entries)
+
+
 def by_index(found: DataFrame, index: int) -> DataFrame:
     """row_id at a cursor position, -1 past the end: always one row."""
     return found.where(F.col("ord") == index).agg(F.coalesce(F.max("row_id"), F.lit(-1)).alias("row_id"))

@@ -105,3 +105,36 @@ def limited(events: DataFrame, who: str, at: str, seconds: int, most: int, order
     """Events that come when the same user had ``most`` or more in the seconds before: one range window per user."""
     window = Window.partitionBy(who).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
     return events.withColumn("recent", F.count(F.lit(1)).over(window)).where(F.col("recent") >= most)
+
+
+def accept_up_to(stored: DataFrame, incoming: DataFrame, owner: str, order: str, most: int = 100) -> DataFrame:
+    """incoming with ``accepted``: a list that has ``most`` entries or more takes no further one; rows come in ``order``.
+
+    The stored lists are counted with partial counts; the incoming rows of a list are numbered by range partitions, so
+    no list is brought together.
+    """
+    have = stored.groupBy(F.col(owner).alias("_owner")).agg(F.count(F.lit(1)).alias("_have"))
+    numbered = running_total(incoming.withColumn("_one", F.lit(1).cast("bigint")), [owner], [order], "_one", "_nth").drop("_one")
+    joined = numbered.join(have, F.col(owner).eqNullSafe(F.col("_owner")), "left")
+    return joined.withColumn("accepted", F.coalesce("_have", F.lit(0)) + F.col("_nth") <= most).drop("_owner", "_have", "_nth")
+
+
+def union_new_wins(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Both tables by key, where the new row stands for the old one of its key; rows without a null key only.
+
+    Keys that repeat within a table keep all of its rows.
+    """
+    return old.join(new.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def merge_by_id(tables: list[DataFrame], key: str, lists: list[str], firsts: list[str]) -> DataFrame:
+    """One row per key over all tables: ``lists`` united without repeats, sorted; ``firsts`` from the first table that has
+    a value. The sets of a key are as large as their distinct entries, not as the rows."""
+    marked = reduce(DataFrame.unionByName, [t.select(key, *lists, *firsts).withColumn("_table", F.lit(i)) for i, t in enumerate(tables)])
+    of = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_table"))).alias(c)
+    entry = lambda c: F.explode_outer(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias("_e")
+    out = marked.groupBy(key).agg(*[of(c) for c in firsts]) if firsts else marked.select(key).distinct()
+    for c in lists:
+        united = marked.select(F.col(key).alias("_key"), entry(c)).groupBy("_key").agg(F.sort_array(F.collect_set("_e")).alias(c))
+        out = out.join(united, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return out

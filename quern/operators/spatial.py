@@ -48,3 +48,16 @@ def box_counts(boxes: DataFrame, points: DataFrame, cell: int = 64) -> DataFrame
     inside = b.join(p, ["level", "cx", "cz"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("z").between(F.col("z0"), F.col("z1")))
     counted = inside.groupBy("box").agg(F.count(F.lit(1)).alias("n"))
     return boxes.select("box").join(counted, "box", "left").select("box", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def find_at(queries: DataFrame, things: DataFrame, kind: str, order: str) -> DataFrame:
+    """queries with ``thing``: the first thing of the kind that stands at (level, x, z), null if there is none."""
+    key = ["level", "x", "z", kind]
+    first = things.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(order).alias("thing"))
+    return queries.join(first, [F.col(k) == F.col(f"_{k}") for k in key], "left").drop(*[f"_{k}" for k in key])
+
+
+def in_zone(queries: DataFrame, things: DataFrame, query_id: str, thing_id: str, zone: int = 8) -> DataFrame:
+    """query, thing: all things of the zone, ``zone`` squares wide, in which each query lies; an equi-join on the zone."""
+    at = lambda df, of, name: df.select(F.col(of).alias(name), "level", F.floor(F.col("x") / zone).alias("zx"), F.floor(F.col("z") / zone).alias("zz"))
+    return at(queries, query_id, "query").join(at(things, thing_id, "thing"), ["level", "zx", "zz"]).select("query", "thing")

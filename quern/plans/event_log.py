@@ -37,7 +37,7 @@ def batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     runs = _events(spark, sf).withColumn("k", F.when(k % 2 == 0, k))
     made = E.metrics(runs, ["event_type"], F.col("value") > 100, ["value", "k"])
-    return made.select("event_type", "runs", "successes", *[F.round(c, 6).alias(c) for c in ("rate", "avg_value", "avg_k")])
+    return made.select("event_type", "runs", "successes", "failures", *[F.round(c, 6).alias(c) for c in ("rate", "avg_value", "avg_k")])
 
 
 def verifier_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +117,7 @@ ORACLE = {
     "step_delta": f"SELECT event_id, round(value - lag(value) OVER {_W}, 4) AS delta, round(value - first_value(value) OVER {_W}, 4) AS from_start FROM events",
     "changed_only": f"SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER {_W} AS b FROM events) WHERE event_type IS DISTINCT FROM b",
     "state_delta": f"SELECT user_id, event_type, count(*) FILTER (ts >= TIMESTAMP '{HALF}') - count(*) FILTER (ts < TIMESTAMP '{HALF}') AS change FROM events GROUP BY 1, 2",
-    "batch_metrics": "SELECT event_type, count(*) AS runs, count(*) FILTER (value > 100) AS successes, round(count(*) FILTER (value > 100) / count(*), 6) AS rate, round(avg(value), 6) AS avg_value, round(avg(CASE WHEN k % 2 = 0 THEN k ELSE 0 END), 6) AS avg_k FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1",
+    "batch_metrics": "SELECT event_type, count(*) AS runs, count(*) FILTER (value > 100) AS successes, count(*) FILTER (value <= 100) AS failures, round(count(*) FILTER (value > 100) / count(*), 6) AS rate, round(avg(value), 6) AS avg_value, round(avg(CASE WHEN k % 2 = 0 THEN k ELSE 0 END), 6) AS avg_k FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1",
     "verifier_all": """WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') >= 1 AS a, count(*) FILTER (event_type = 'error') <= 12 AS b, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) > 0 AS c, max(ts) >= TIMESTAMP '2024-01-30' AS d FROM events GROUP BY 1)
 SELECT user_id, array_to_string(list_filter([CASE WHEN a THEN 'inventory_contains' END, CASE WHEN b THEN 'inventory_lacks' END, CASE WHEN c THEN 'xp_gained' END, CASE WHEN d THEN 'level_at_least' END], lambda x: x IS NOT NULL), ',') AS passed,
 array_to_string(list_filter([CASE WHEN NOT a THEN 'inventory_contains' END, CASE WHEN NOT b THEN 'inventory_lacks' END, CASE WHEN NOT c THEN 'xp_gained' END, CASE WHEN NOT d THEN 'level_at_least' END], lambda x: x IS NOT NULL), ',') AS failed, a AND b AND c AND d AS success FROM s""",

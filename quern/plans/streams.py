@@ -16,11 +16,11 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.drain(ST.latest(_stream(spark, sf), "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"]), "complete")
+    return ST.drain(ST.latest(_stream(spark, sf), "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"]), "update", "user_id")
 
 
 def stream_staleness(spark: SparkSession, sf: str) -> DataFrame:
-    last = ST.drain(ST.latest(_stream(spark, sf), "user_id", ["ts", "event_id"], ["ts"]), "complete")
+    last = ST.drain(ST.latest(_stream(spark, sf), "user_id", ["ts", "event_id"], ["ts"]), "update", "user_id")
     made = ST.staleness(last, "ts", F.to_timestamp_ntz(F.lit("2024-01-30 12:00:00")), 43_200, 86_400)
     return made.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -36,8 +36,15 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     return ST.drain(ST.changes(_stream(spark, sf), "user_id", "ts", "event_id", "event_type"), "append")
 
 
-QUERIES = {f.__name__: f for f in (stream_latest, stream_staleness, stream_buffer, stream_changes)}
+def stream_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """The users who were silent for two days of event time, and then forgotten."""
+    gone = ST.drain(ST.expired(_stream(spark, sf), "user_id", "ts", 2 * 86_400, "1 hour"), "append")
+    return gone.select("user_id", F.col("last").cast("timestamp_ntz").alias("last"), "events")
+
+
+QUERIES = {f.__name__: f for f in (stream_expired, stream_latest, stream_staleness, stream_buffer, stream_changes)}
 ORACLE = {
+    "stream_expired": "WITH u AS (SELECT user_id, date_trunc('millisecond', max(ts)) AS last, count(*) AS events FROM events GROUP BY 1) SELECT * FROM u WHERE last + INTERVAL 2 DAY < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)",
     "stream_latest": BATCH["latest_per_key"],
     "stream_buffer": BATCH["sliding_buffer"],
     "stream_changes": BATCH["changed_only"],

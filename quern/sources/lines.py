@@ -73,3 +73,37 @@ def split_quoted(line: Column) -> Column:
     # Odd parts were inside quotes: their commas are hidden while the line is split.
     hidden = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(","), F.lit("\u0001"))).otherwise(p))
     return F.transform(F.split(F.array_join(hidden, ""), ","), lambda c: F.replace(c, F.lit("\u0001"), F.lit(",")))
+
+
+def zone_set(lines: DataFrame, body: str) -> DataFrame:
+    """level, zx, zz: the distinct zones, eight squares wide, of lines ``level,x,z``; the header, comments and lines that
+    are no three numbers name none."""
+    cells = F.split(F.regexp_replace(F.col(body), r"\\s", ""), ",")
+    number = lambda i: F.try_element_at(cells, F.lit(i)).try_cast("int")
+    read = lines.select(number(1).alias("level"), F.floor(number(2) / 8).alias("zx"), F.floor(number(3) / 8).alias("zz"))
+    return read.na.drop().distinct()
+
+
+def without_header(lines: DataFrame, order: str) -> DataFrame:
+    """All lines but the first in the order of ``order``; the first is found by a partial minimum."""
+    first = lines.agg(F.min(order).alias("_first"))
+    return lines.join(F.broadcast(first)).where(F.col(order) > F.col("_first")).drop("_first")  # one row
+
+
+def table_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """ord, line: a small result as a Markdown table: the head, the rule and one line per row, in order."""
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\\\|")), F.lit(""))
+    head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    top = rows.sparkSession.createDataFrame([(i - 2, x) for i, x in enumerate(head)], "ord bigint, line string")
+    from quern.operators.relational import position
+
+    body = position(rows.select(*columns), [(c, False) for c in order], "ord").select((F.col("ord") - 1).alias("ord"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))
+    return top.unionByName(body)
+
+
+def write_json_document(rows: DataFrame, path: str) -> None:
+    """A result of one row as one JSON document in place of what was at ``path``; any other number of rows is an error."""
+    few = rows.limit(2).count()
+    if few != 1:
+        raise ValueError("a document is one row")
+    rows.coalesce(1).write.mode("overwrite").json(path)

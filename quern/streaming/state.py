@@ -6,6 +6,7 @@ The batch forms in quern.operators.events give the same answers over the whole l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,10 +73,11 @@ def changes(events: DataFrame, key: str, at: str, order: str, value: str) -> Dat
     return slim.groupBy(key).applyInPandasWithState(update, out, f"last {types[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
     """Run a stream over what is there and read the result back from the shared folder.
 
-    ``complete`` keeps the last batch; ``append`` and ``update`` keep the rows of all batches.
+    ``append`` and ``update`` keep the rows of all batches; with ``key``, the last row of each key. ``complete`` keeps
+    the last batch.
     """
     spark = stream.sparkSession
     base = new_folder(spark, "stream")
@@ -90,7 +92,11 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     wanted = batches[-1:] if mode == "complete" else batches
     if not wanted:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={n}" for n in wanted])
+    read = reduce(DataFrame.unionByName, [spark.read.schema(stream.schema).parquet(f"{base}/out/batch={n}").withColumn("_batch", F.lit(n)) for n in wanted])
+    if key is None:
+        return read.drop("_batch")
+    others = [c for c in stream.columns if c != key]
+    return read.groupBy(key).agg(F.max_by(F.struct(*others), "_batch").alias("_v")).select(key, "_v.*")
 
 
 def fan_out(batch: DataFrame, paths: list[str]) -> None:
@@ -101,3 +107,26 @@ def fan_out(batch: DataFrame, paths: list[str]) -> None:
             batch.write.mode("append").json(path)
     finally:
         batch.unpersist()
+
+
+def expired(events: DataFrame, key: str, at: str, seconds: int, delay: str) -> DataFrame:
+    """key, last, events: what is known of each key when it has been silent for ``seconds`` of event time; its state is
+    removed then, so state holds the keys of the last ``seconds`` and ``delay`` only. A key that comes back starts anew.
+    """
+    key_type = dict(events.dtypes)[key]
+    timed = events.select(key, F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", delay)
+
+    def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, n = state.get
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], "last": pd.to_datetime([last], unit="ms"), "events": [n]})
+            return
+        last, n = state.get if state.exists else (0, 0)
+        for frame in frames:
+            last, n = max(last, int(frame["_at"].max().value // 1_000_000)), n + len(frame)
+        state.update((last, n))
+        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    out = f"{key} {key_type}, last timestamp, events bigint"
+    return timed.groupBy(key).applyInPandasWithState(update, out, "last bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
