@@ -80,8 +80,9 @@ def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) ->
 def sliding_buffer(events: DataFrame, key: str, at: str, order: str, seconds: int, most: int) -> DataFrame:
     """What a buffer of the last ``most`` events, none older than ``seconds``, holds for each key at its last event."""
     window = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(order).desc())
-    newest = F.max(at).over(Window.partitionBy(key))
-    held = events.withColumn("_rn", F.row_number().over(window)).withColumn("_last", newest).where(F.col("_rn") <= most)
+    # The row limit comes first, so each task keeps ``most`` rows of a key; the newest is found among these.
+    held = events.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= most)
+    held = held.withColumn("_last", F.max(at).over(Window.partitionBy(key)))
     age = F.unix_micros(F.col("_last").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
     return held.where(age < seconds * 1_000_000).drop("_rn", "_last")
 

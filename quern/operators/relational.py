@@ -102,7 +102,10 @@ def delete_where_in(rows: DataFrame, doomed: DataFrame, key: list[str]) -> DataF
 
 
 def limited(events: DataFrame, who: str, at: str, seconds: int, most: int, order: str) -> DataFrame:
-    """Events that come when the same user had ``most`` or more in the seconds before: one range window per user."""
+    """Events that come when the same user had ``most`` or more in the seconds before: one range window per user.
+
+    A user's events are sorted on disk where they do not fit; only the rows of the last ``seconds`` are held.
+    """
     window = Window.partitionBy(who).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
     return events.withColumn("recent", F.count(F.lit(1)).over(window)).where(F.col("recent") >= most)
 

@@ -78,7 +78,7 @@ def split_quoted(line: Column) -> Column:
 def zone_set(lines: DataFrame, body: str) -> DataFrame:
     """level, zx, zz: the distinct zones, eight squares wide, of lines ``level,x,z``; the header, comments and lines that
     are no three numbers name none."""
-    cells = F.split(F.regexp_replace(F.col(body), r"\\s", ""), ",")
+    cells = F.split(F.regexp_replace(F.col(body), r"\s", ""), ",")
     number = lambda i: F.try_element_at(cells, F.lit(i)).try_cast("int")
     read = lines.select(number(1).alias("level"), F.floor(number(2) / 8).alias("zx"), F.floor(number(3) / 8).alias("zz"))
     return read.na.drop().distinct()
@@ -92,7 +92,7 @@ def without_header(lines: DataFrame, order: str) -> DataFrame:
 
 def table_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """ord, line: a small result as a Markdown table: the head, the rule and one line per row, in order."""
-    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\\\|")), F.lit(""))
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
     head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     top = rows.sparkSession.createDataFrame([(i - 2, x) for i, x in enumerate(head)], "ord bigint, line string")
     from quern.operators.relational import position
