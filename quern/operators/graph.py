@@ -56,41 +56,44 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 25, damping: floa
 
     nodes: id, unique. edges: source, target, weight, between nodes; others are dropped. n counts all nodes.
 
+    The nodes are numbered once, so that all rounds join, sort and group by numbers and not by names.
+
     With M the shares of the edges, round i + 1 is ``d M r + c_i``, where only the number ``c_i`` depends on the mass
     without outgoing weight. So ``r`` after all rounds is a weighted sum of ``v_j = (d M)^j 1``, and a round is one join
-    of the shares, which are partitioned by source once, with the last ``v``, and one aggregation by target with partial
-    sums before the shuffle (a hot target moves one row per task). Each ``v``, at most a row per node, is written, so
+    of the shares, which are partitioned and sorted by source once, with the last ``v``, and one aggregation by target
+    with partial sums before the shuffle (a hot target moves one row per task). Each ``v``, at most a row per node, is written, so
     plans do not grow with the rounds. The numbers ``c_i`` follow from the mass of each ``v`` that lies on nodes without outgoing weight, and the result is one
     aggregation over all ``v``. A source with very many edges is split by AQE's skew join.
     """
     spark = nodes.sparkSession
-    ids = cut(nodes.select("id").distinct(), "pr-nodes")
+    ids = cut(nodes.select("id").distinct().withColumn("number", F.monotonically_increasing_id()), "pr-nodes")
     n = ids.count()
     if not n:
-        return ids.withColumn("rank", F.lit(0.0))
-    merged = edges.groupBy("source", "target").agg(F.sum("weight").alias("w"))
-    inside = merged.join(ids, merged["source"] == ids["id"], "left_semi").join(ids, merged["target"] == ids["id"], "left_semi")
+        return ids.select("id", F.lit(0.0).alias("rank"))
+    of = lambda end: ids.select(F.col("id").alias(end), F.col("number").alias(f"_{end}"))
+    numbered = edges.select("source", "target", "weight").join(of("target"), "target").join(of("source"), "source")
+    inside = numbered.groupBy(F.col("_source").alias("source"), F.col("_target").alias("target")).agg(F.sum("weight").alias("w"))
     out = inside.groupBy(F.col("source").alias("_s")).agg(F.sum("w").alias("_all")).where(F.col("_all") > 0)
     shares = cut(inside.join(out, F.col("source") == F.col("_s")).select("source", "target", (F.col("w") / F.col("_all")).alias("share")), "pr-shares")
-    by_source = shares.repartition("source").persist()
+    by_source = shares.repartition("source").sortWithinPartitions("source").persist()
     try:
         v, written = None, []
         for j in range(1, rounds + 1):
-            joined = by_source.join(v.withColumnRenamed("id", "source"), "source") if v is not None else by_source.withColumn("v", F.lit(1.0))
-            v = cut(joined.groupBy(F.col("target").alias("id")).agg((F.sum(F.col("v") * F.col("share")) * damping).alias("v")), "pr-v")
+            joined = by_source.join(v.withColumnRenamed("number", "source"), "source") if v is not None else by_source.withColumn("v", F.lit(1.0))
+            v = cut(joined.groupBy(F.col("target").alias("number")).agg((F.sum(F.col("v") * F.col("share")) * damping).alias("v")), "pr-v")
             written.append(v.withColumn("j", F.lit(j)))
     finally:
         by_source.unpersist()
     every = reduce(DataFrame.unionByName, written)
-    ends = cut(ids.join(shares.select(F.col("source").alias("id")).distinct(), "id", "left_anti"), "pr-ends")
-    masses = {0: float(ends.count()), **{r["j"]: r["m"] for r in every.join(ends, "id", "left_semi").groupBy("j").agg(F.sum("v").alias("m")).collect()}}
+    ends = cut(ids.join(shares.select(F.col("source").alias("number")).distinct(), "number", "left_anti").select("number"), "pr-ends")
+    masses = {0: float(ends.count()), **{r["j"]: r["m"] for r in every.join(ends, "number", "left_semi").groupBy("j").agg(F.sum("v").alias("m")).collect()}}
     c: list[float] = []
     for i in range(rounds):
         loose = sum(c[i - 1 - j] * masses.get(j, 0.0) for j in range(i)) + masses.get(i, 0.0) / n
         c.append(((1 - damping) + damping * loose) / n)
     weights = spark.createDataFrame([(j, c[rounds - 1 - j] if j < rounds else 1.0 / n) for j in range(1, rounds + 1)], "j int, weight double")
-    got = every.join(F.broadcast(weights), "j").groupBy("id").agg(F.sum(F.col("v") * F.col("weight")).alias("got"))
-    return ids.join(got, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) + F.lit(c[rounds - 1])).alias("rank"))
+    got = every.join(F.broadcast(weights), "j").groupBy("number").agg(F.sum(F.col("v") * F.col("weight")).alias("got"))
+    return ids.join(got, "number", "left").select("id", (F.coalesce("got", F.lit(0.0)) + F.lit(c[rounds - 1])).alias("rank"))
 
 
 def edge_score(priority: Column, weight: Column, rank: Column, *dates: Column) -> Column:

@@ -46,27 +46,36 @@ def resolve(refs: DataFrame, name: str, index: DataFrame) -> DataFrame:
     return found.drop("_name", "_of")
 
 
-def recipe_score(recipes: Column, asked_tokens: Column, asked_phrase: Column) -> Column:
-    """The points of the best recipe: an array of arrays of struct<kind, name>, its parts; kind outputs counts less.
+def recipe_parts(recipes: Column) -> Column:
+    """What ``recipe_points`` looks at: the parts of recipes, as array of arrays of struct<out, words, text>."""
+    one = lambda x: F.struct((x["kind"] == "outputs").alias("out"), F.array_distinct(tokens(x["name"])).alias("words"), phrase(x["name"]).alias("text"))
+    return F.transform(F.coalesce(recipes, F.array().cast("array<array<struct<kind:string,name:string>>>")), lambda r: F.transform(r, one))
 
-    A part counts as a phrase of four characters or more in the query, or else by the share of its words there.
-    Repeated parts count again; a page without recipes has 0.
-    """
+
+def recipe_points(parts: Column, asked_tokens: Column, asked_phrase: Column) -> Column:
+    """The points of the best recipe, from its ``recipe_parts``; the words are compared only where any is shared."""
 
     def part(x: Column) -> Column:
-        words = F.array_distinct(tokens(x["name"]))
-        text = phrase(x["name"])
+        words, text, out = x["words"], x["text"], x["out"]
         shared = F.size(F.array_intersect(words, asked_tokens))
-        out = x["kind"] == "outputs"
         points = lambda i: F.when(out, OUTPUT_POINTS[i]).otherwise(INPUT_POINTS[i])
         whole = (F.length(text) >= 4) & F.contains(asked_phrase, text)
-        by_words = F.when(shared == F.size(words), points(1)).when((shared > 0) & (shared * 2 >= F.size(words)), HALF_POINTS)
+        by_words = F.when(~F.arrays_overlap(words, asked_tokens), 0.0).when(shared == F.size(words), points(1)).when(shared * 2 >= F.size(words), HALF_POINTS)
         return F.when(F.size(words) == 0, 0.0).when(whole, points(0)).otherwise(F.coalesce(by_words, F.lit(0.0)))
 
-    sums = F.transform(F.coalesce(recipes, F.array().cast("array<array<struct<kind:string,name:string>>>")), lambda r: F.aggregate(r, F.lit(0.0).cast("double"), lambda acc, x: acc + part(x)))
+    sums = F.transform(parts, lambda r: F.aggregate(r, F.lit(0.0).cast("double"), lambda acc, x: acc + part(x)))
     return F.greatest(F.lit(0.0), F.coalesce(F.array_max(sums), F.lit(0.0)))
 
 
+def recipe_score(recipes: Column, asked_tokens: Column, asked_phrase: Column) -> Column:
+    """The points of the best recipe: an array of arrays of struct<kind, name>, its parts; kind outputs counts less.
+
+    A part counts as a phrase of four characters or more in the query, or else by the share of its words there.
+    Repeated parts count again; a page without recipes has 0.
+    """
+    return recipe_points(recipe_parts(recipes), asked_tokens, asked_phrase)
+
+
 def search(queries: DataFrame, index: DataFrame, names: DataFrame, pages: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """The k best pages of each query: query, node, score, strong, rn. Ties go to the smaller node.
 
@@ -77,7 +86,8 @@ def search(queries: DataFrame, index: DataFrame, names: DataFrame, pages: DataFr
     no result. strong: the page was named by the query, or its title or an alias is in it.
 
     The tokens are joined with the postings. All other points need each query against each page, so the queries are
-    sent to the pages, which are read once and never shuffled; the window keeps k rows per query and task.
+    sent to the pages, which are read once and never shuffled; the window keeps k rows per query and task. What does not
+    depend on a query, such as the words of recipes, is made once per page.
     """
     small = queries.limit(most_queries + 1).collect()
     if len(small) > most_queries:
@@ -87,13 +97,12 @@ def search(queries: DataFrame, index: DataFrame, names: DataFrame, pages: DataFr
     base = words.join(index, "token").groupBy("query", "node").agg(F.sum(F.col("times") * F.col("weight")).alias("base"))
     exact = resolve(asked.select("query", "text"), "text", names).where(F.col("node").isNotNull()).select("query", "node", F.lit(EXACT).alias("exact"))
     none = F.array().cast("array<string>")
-    own = pages.select("node", "rank", "recipes", normal_name(F.col("title")).alias("_title"), phrase(F.col("title")).alias("_phrase"), F.transform(F.concat(F.array("title"), F.coalesce("aliases", none)), phrase).alias("_phrases"), F.exists(F.coalesce("categories", none), lambda c: F.coalesce(phrase(c) == "burnt food", F.lit(False))).alias("_burnt"))
-    both = own.join(F.broadcast(asked.drop("text")))
+    own = pages.select("node", "rank", recipe_parts(F.col("recipes")).alias("_parts"), normal_name(F.col("title")).alias("_title"), phrase(F.col("title")).alias("_phrase"), F.transform(F.concat(F.array("title"), F.coalesce("aliases", none)), phrase).alias("_phrases"), F.exists(F.coalesce("categories", none), lambda c: F.coalesce(phrase(c) == "burnt food", F.lit(False))).alias("_burnt"))
+    both = own.join(F.broadcast(asked.drop("text"))).withColumn("_first", F.try_element_at(F.filter("_phrases", lambda p: (F.length(p) >= 4) & F.contains(F.col("said"), p)), F.lit(1)))
     inside = F.when((F.col("asked") != "") & F.contains("_title", "asked"), IN_TITLE).otherwise(0.0)
-    first = F.try_element_at(F.filter("_phrases", lambda p: (F.length(p) >= 4) & F.contains(F.col("said"), p)), F.lit(1))
-    named = F.when(F.contains(first, F.lit(" ")), PHRASE).when(first.isNotNull(), WORD).otherwise(0.0)
+    named = F.when(F.contains("_first", F.lit(" ")), PHRASE).when(F.col("_first").isNotNull(), WORD).otherwise(0.0)
     burnt = F.when(~F.array_contains("words", "burnt") & (F.contains("_phrase", F.lit("burnt")) | F.col("_burnt")), BURNT).otherwise(0.0)
-    other = both.select("query", "node", "rank", F.coalesce(inside, F.lit(0.0)).alias("_in"), named.alias("_named"), recipe_score(F.col("recipes"), F.col("words"), F.col("said")).alias("_recipe"), F.coalesce(burnt, F.lit(0.0)).alias("_off"))
+    other = both.select("query", "node", "rank", F.coalesce(inside, F.lit(0.0)).alias("_in"), named.alias("_named"), recipe_points(F.col("_parts"), F.col("words"), F.col("said")).alias("_recipe"), F.coalesce(burnt, F.lit(0.0)).alias("_off"))
     joined = other.join(base, ["query", "node"], "left").join(exact, ["query", "node"], "left")
     found = F.col("base").isNotNull() | F.col("exact").isNotNull() | (F.col("_in") > 0) | (F.col("_named") > 0) | (F.col("_recipe") > 0) | (F.col("_off") < 0)
     score = F.coalesce("base", F.lit(0.0)) + F.coalesce("exact", F.lit(0.0)) + F.col("_in") + F.col("_named") + F.col("_recipe") + F.col("_off") + 2 * F.log1p(F.coalesce("rank", F.lit(0.0)) * 1e5)

@@ -93,12 +93,13 @@ def _priority() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation")), F.lit(1.0))
 
 
-def best_edges(spark: SparkSession, sf: str, most: int, ranks: DataFrame) -> DataFrame:
+def best_edges(spark: SparkSession, sf: str, most: int, ranks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """The best edges of each source by relation, weight, rank of the target and dates; other relations are left out.
 
-    ranks: id, rank of the pages; a target that is no page has rank 0. A weight of null or 0 counts as 1.
+    ranks: id, rank of the pages; a target that is no page has rank 0. A weight of null or 0 counts as 1. edges: those of
+    ``edges_of`` from the sources that are asked for, all if not given.
     """
-    edges = G.merge_edges(edges_of(spark, sf), "edge_id").where(F.col("relation").isin(*PRIORITY))
+    edges = G.merge_edges(edges_of(spark, sf) if edges is None else edges, "edge_id").where(F.col("relation").isin(*PRIORITY))
     ranked = edges.join(ranks.select(F.col("id").alias("target"), F.col("rank").alias("_rank")), "target", "left")
     dated = (F.col("relation") == "infobox_link") & F.coalesce("field", F.lit("")).isin(*DATE_FIELDS)
     named = F.regexp_replace("target", "^page:", "").rlike(r"^(?:\d{4}|\d{1,2} [a-z]+)\z")

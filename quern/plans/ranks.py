@@ -23,9 +23,12 @@ def edges_of(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select("edge_id", normal_name(F.col("source")).alias("source"), normal_name(F.col("target")).alias("target"), "relation", "field", "weight", "built_at")
 
 
-def page_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """id, rank of the pages: PageRank over all links from pages to pages, where n is all nodes."""
-    nodes, edges = nodes_of(spark, sf), edges_of(spark, sf)
+def page_ranks(spark: SparkSession, sf: str, edges: DataFrame | None = None) -> DataFrame:
+    """id, rank of the pages: PageRank over all links from pages to pages, where n is all nodes.
+
+    edges: those of ``edges_of``, if they are written already.
+    """
+    nodes, edges = nodes_of(spark, sf), edges_of(spark, sf) if edges is None else edges
     pages = cut(G.merge_nodes(nodes, "node_key", ["kind"]).where(F.col("kind") == "page").select("id"), "pages")
     links = edges.where(F.col("relation").isin(*PAGE_LINKS) & F.col("target").startswith("page:") & (F.col("source") != F.col("target")))
     return cut(G.pagerank(nodes, links.join(pages.select(F.col("id").alias("source")), "source", "left_semi")).join(pages, "id", "left_semi"), "page-ranks")

@@ -144,13 +144,17 @@ def search_context(spark: SparkSession, sf: str, k: int = 6, most: int = 14) ->
     A question whose best page was found by name or phrase is focused: only that page is read, and the way goes on
     from it alone; else all k pages are read and the way goes on from the first four. Of the neighbours over the best
     edges of these the ``most`` with the highest rank are read, each once and none that was a start.
+
+    The names of all edges are brought to normal form once, and the pages are ranked once, for the search and for the
+    edges. Only edges of the starts, at most four a question, are merged and put in order.
     """
-    ranks = page_ranks(spark, sf)
-    hits = cut(searching.found(spark, sf, k), "hits")
+    edges = cut(graphs.edges_of(spark, sf), "edges")
+    ranks = page_ranks(spark, sf, edges)
+    hits = cut(searching.found(spark, sf, k, ranks), "hits")
     focus = hits.where("rn = 1").select("query", F.col("strong").alias("focused"))
     kept = hits.join(F.broadcast(focus), "query").where(~F.col("focused") | (F.col("rn") == 1))
     seeds = kept.where(F.col("rn") <= 4).select("query", F.col("node").alias("source"))
-    best = graphs.best_edges(spark, sf, most, ranks).select("source", "target")
+    best = graphs.best_edges(spark, sf, most, ranks, edges.join(F.broadcast(seeds.select("source").distinct()), "source", "left_semi")).select("source", "target")
     near = seeds.join(best, "source").join(ranks.select(F.col("id").alias("target"), "rank"), "target").select("query", F.col("target").alias("node"), "rank").distinct()
     fresh = near.join(seeds.withColumnRenamed("source", "node"), ["query", "node"], "left_anti")
     by_rank = Window.partitionBy("query").orderBy(F.desc(F.round("rank", 12)), "node")

@@ -66,9 +66,13 @@ def resolve_titles(spark: SparkSession, sf: str) -> DataFrame:
     return S.resolve(table(spark, sf, "raw_pages").select("raw_id", "requested_title"), "requested_title", S.title_index(_pages(spark, sf))).select("raw_id", "node")
 
 
-def found(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """The k best pages of each question; pages, index and names are written once and read from there."""
-    pages = cut(_pages(spark, sf).join(page_ranks(spark, sf).select(F.col("id").alias("node"), "rank"), "node", "left"), "search-pages")
+def found(spark: SparkSession, sf: str, k: int, ranks: DataFrame | None = None) -> DataFrame:
+    """The k best pages of each question; pages, index and names are written once and read from there.
+
+    ranks: those of ``page_ranks``, if they are there already.
+    """
+    ranks = page_ranks(spark, sf) if ranks is None else ranks
+    pages = cut(_pages(spark, sf).join(ranks.select(F.col("id").alias("node"), "rank"), "node", "left"), "search-pages")
     queries = spark.createDataFrame(ASKED, "query string, text string")
     return S.search(queries, cut(_index(pages), "postings"), cut(S.title_index(pages), "names"), pages, k)
 

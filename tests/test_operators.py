@@ -45,6 +45,17 @@ def test_pagerank_sums_to_one_and_spreads_loose_mass(spark):
     assert G.pagerank(nodes.where("false"), edges).count() == 0
 
 
+def test_pagerank_adds_up_repeated_edges_and_leaves_null_names_out(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), (None,)], "id string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "b", 2.0), ("a", "c", 1.0), ("b", "a", 1.0), ("c", "b", None), (None, "a", 5.0), ("a", None, 5.0)], "source string, target string, weight double")
+    rank = dict.fromkeys(["a", "b", "c", None], 0.25)
+    for _ in range(25):
+        even = 0.15 / 4 + 0.85 * (rank["c"] + rank[None]) / 4
+        rank = {"a": even + 0.85 * rank["b"], "b": even + 0.85 * 0.75 * rank["a"], "c": even + 0.85 * 0.25 * rank["a"], None: even}
+    got = {r.id: r.rank for r in G.pagerank(nodes, edges).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-9 for n in rank)
+
+
 def test_edges_and_nodes_merge(spark):
     edges = spark.createDataFrame([(1, "a", "b", "r", None, 1.0), (2, "a", "b", "r", None, 2.0), (3, "a", "b", "r", "f", 1.0), (4, "a", "a", "r", None, 1.0), (5, "a", None, "r", None, 1.0)], "edge_id int, source string, target string, relation string, field string, weight double")
     got = {(r.field, r.weight, r.evidence, r.first_seen) for r in G.merge_edges(edges, "edge_id").collect()}

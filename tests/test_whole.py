@@ -3,7 +3,9 @@
 import datetime
 import math
 
-from quern.plans import building, graphs, searching
+from quern.operators import graph as G
+from quern.plans import building, graphs, records, searching
+from quern.runtime import scope
 
 LINK = "array<struct<ns:int,title:string,exists:boolean>>"
 
@@ -59,3 +61,14 @@ def test_postings_weigh_aliases_types_categories_and_fields(spark, tmp_path):
     assert got == {**{("page:red hat", k): v for k, v in red.items()}, ("page:plain", "plain"): 12.0}
     pages = {r.node: r for r in searching._pages(spark, str(tmp_path)).collect()}
     assert [[tuple(x) for x in parts] for parts in pages["page:red hat"].recipes] == [[("tools", "Needle")]] and pages["page:plain"].recipes is None
+
+
+def test_a_context_ranks_pages_once_and_merges_only_the_edges_of_its_starts(spark, sf, monkeypatch):
+    runs, merged, pagerank, merge_edges = [], [], G.pagerank, G.merge_edges
+    monkeypatch.setattr(G, "pagerank", lambda *a, **k: runs.append(a) or pagerank(*a, **k))
+    monkeypatch.setattr(G, "merge_edges", lambda edges, order: merged.append(edges) or merge_edges(edges, order))
+    with scope():
+        rows = records.search_context(spark, sf).collect()
+        starts = {r.node for r in rows if r.part == "match" and r.rn <= 4}
+        assert len(runs) == len(merged) == 1
+        assert {r.source for r in merged[0].select("source").distinct().collect()} <= starts
